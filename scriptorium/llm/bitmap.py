@@ -29,11 +29,16 @@ def build_bitmap(keys: DataFrame, columns: list[str], bits: int = BITS) -> DataF
     )
 
 
-def keep_listed(df: DataFrame, bitmap: DataFrame, columns: list[Column], bits: int = BITS) -> DataFrame:
-    """The rows of df whose key's slot is in use: all rows with listed keys and a few others."""
+def keep_listed(df: DataFrame, bitmap: DataFrame, columns: list[Column], bits: int = BITS, outer: str | None = None) -> DataFrame:
+    """The rows of df whose key's slot is in use: all rows with listed keys and a few others.
+
+    With ``outer``, all rows stay and a boolean column of that name tells.
+    """
     names = df.columns
-    slot = _slot(columns, bits)
     pages = bitmap.select(F.col("page").alias("_page"), F.col("words").alias("_words"))
-    joined = df.withColumn("_slot", slot).withColumn("_page", F.shiftright("_slot", _PAGE).cast("int"))
+    joined = df.withColumn("_slot", _slot(columns, bits)).withColumn("_page", F.shiftright("_slot", _PAGE).cast("int"))
+    joined = joined.join(F.broadcast(pages), "_page", "left" if outer else "inner")
     hit = F.expr(f"getbit(_words[cast(shiftright(_slot, 6) % {1 << _PAGE - 6} AS int)], cast(_slot % 64 AS int)) = 1")
-    return joined.join(F.broadcast(pages), "_page").where(hit).select(*names)
+    if outer:
+        return joined.select(*names, F.coalesce(hit, F.lit(False)).alias(outer))
+    return joined.where(hit).select(*names)
