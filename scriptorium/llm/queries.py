@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate as decon
 from . import exact_dedup as exact
 from .bpe_codec import bpe_codec
 from .exact_dedup import exact_dedup
@@ -36,13 +37,19 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decon.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_bpe_codec": op6_bpe_codec,
+    "op7_decontaminate": op7_decontaminate,
 }
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact.ORACLE_SQL,
+    "op7_decontaminate": decon.ORACLE_SQL,
 }
