@@ -12,8 +12,10 @@ from . import decontaminate as decon
 from . import exact_dedup as exact
 from .bpe_codec import bpe_codec
 from .exact_dedup import exact_dedup
+from .language_id import language_id
 from .minhash_dedup import minhash_dedup
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), hash_all=True)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -41,12 +47,18 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decon.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_language_id": op5_language_id,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_decontaminate": op7_decontaminate,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {

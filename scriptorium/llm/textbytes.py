@@ -116,20 +116,27 @@ def word_spans(data: np.ndarray, offs: np.ndarray, word: np.ndarray) -> tuple[np
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte ranges in ascending order, A-Z as a-z; equal bytes have equal hashes in every process."""
-    out = np.empty(len(starts), np.uint64)
+    return hash_prefixes(data, starts, ends, [None])[0]
+
+
+def hash_prefixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: list[int | None]) -> list[np.ndarray]:
+    """For each size the hashes of the ranges' first bytes, as many as that; None is the whole range."""
+    out = [np.empty(len(starts), np.uint64) for _ in sizes]
     values = worker_cache().setdefault("byte_values", _byte_values())
     lo = 0
     with np.errstate(over="ignore"):
         while lo < len(starts):
             base = int(starts[lo])
             hi = max(lo + 1, int(np.searchsorted(ends, base + PIECE, "right")))
-            size = int(ends[hi - 1]) - base
-            power, inverse = _powers(size + 1)
-            total = np.empty(size + 1, np.uint64)
+            span = int(ends[hi - 1]) - base
+            power, inverse = _powers(span + 1)
+            total = np.empty(span + 1, np.uint64)
             total[0] = 0
-            np.cumsum(values[data[base : base + size]] * power[:size], out=total[1:])
+            np.cumsum(values[data[base : base + span]] * power[:span], out=total[1:])
             s, e = starts[lo:hi] - base, ends[lo:hi] - base
-            out[lo:hi] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
+            for row, size in zip(out, sizes):
+                upto = e if size is None else np.minimum(e, s + size)
+                row[lo:hi] = mix((total[upto] - total[s]) * inverse[s] + (upto - s).astype(np.uint64))
             lo = hi
     return out
 
