@@ -13,6 +13,7 @@ from . import exact_dedup as exact
 from .bpe_codec import bpe_codec
 from .exact_dedup import exact_dedup
 from .language_id import language_id
+from .lm_score import lm_score
 from .minhash_dedup import minhash_dedup
 from .token_counts import token_counts
 from .toxicity import toxicity
@@ -47,6 +48,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decon.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_decontaminate": op7_decontaminate,
+    "op8_lm_score": op8_lm_score,
     "op10_toxicity": op10_toxicity,
 }
 
