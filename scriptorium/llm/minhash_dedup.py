@@ -8,10 +8,11 @@ table key are candidates; candidates are confirmed on their full shingle sets.
 
 Copies (equal sets) first collapse to a class. In each bucket of a table every
 member is compared with a pivot, the member that shares most collections with
-others; links found so join classes to components. Buckets that still hold
-several components go through the next round with another pivot, and what is
-left after ``rounds`` of them is compared pair by pair across components, so no
-candidate link is lost and a large group costs about one comparison a member.
+others; the links found so join classes to components. Members that their pivot's
+component doesn't hold are then compared with all members of the pivot's group
+that lie in other components, in blocks of a bounded size whose tasks return the
+links alone. So no candidate link is lost, no pairs are written out, and a group
+of near copies costs about one comparison a member.
 """
 
 from __future__ import annotations
@@ -93,8 +94,59 @@ def confirm(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> Da
     return with_ab.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(shingle, percent), "a long, b long")
 
 
+def _block_comparer(shingle: int, percent: int):
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        outer = table.column("outer").to_numpy(zero_copy_only=False)
+        ids, comps = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
+        sets: list[np.ndarray] = []
+        texts = table.column("text").combine_chunks()
+        for lo, hi in tb.text_slices(texts, tb.PIECE):
+            sets += tb.shingle_sets(texts.slice(lo, hi - lo), shingle, tb.whitespace_words())
+        inner, outside = np.flatnonzero(~outer), np.flatnonzero(outer)
+        links: list[tuple[int, int]] = []
+        if len(inner) and len(outside):
+            sizes = np.array([len(sets[i]) for i in inner])
+            flat = np.concatenate([sets[i] for i in inner])
+            owner = np.repeat(np.arange(len(inner)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for x in outside:
+                mine = sets[x]
+                lo, hi = np.searchsorted(flat, mine), np.searchsorted(flat, mine, "right")
+                n = hi - lo
+                at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+                both = np.bincount(owner[at], minlength=len(inner))
+                near = (100 * both >= percent * (len(mine) + sizes - both)) & (both > 0) & (comps[inner] != comps[x])
+                links += [(max(int(ids[x]), int(y)), min(int(ids[x]), int(y))) for y in ids[inner[near]]]
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return compare
+
+
+def compare_groups(docs: DataFrame, members: DataFrame, shingle: int, percent: int, block: int) -> DataFrame:
+    """Links (a, b) between members(pivot, doc_id, component, pivot_component, n_shingles) of a group in different components.
+
+    Only members outside their pivot's component can have links that aren't known
+    yet. They meet the group's other members in blocks of about ``block`` shingles.
+    """
+    groups = members.groupBy("pivot").agg(
+        F.count("*").alias("n"), F.count_if(F.col("component") != F.col("pivot_component")).alias("outside"),
+        F.ceil(F.sum("n_shingles") / block).cast("int").alias("blocks"),
+    ).where("n > 1 AND outside > 0").select("pivot", "blocks")
+    split = members.join(groups, "pivot").withColumn("mine", F.pmod(F.hash("doc_id"), F.col("blocks")))
+    every = F.explode(F.expr("sequence(0, blocks - 1)"))
+    rows = split.where("component <> pivot_component").select("pivot", "doc_id", "component", F.lit(True).alias("outer"), F.col("mine").alias("i"), every.alias("j"))
+    rows = rows.unionByName(split.select("pivot", "doc_id", "component", F.lit(False).alias("outer"), F.col("mine").alias("j"), every.alias("i")))
+    listed = split.select("doc_id").distinct()
+    texts = keep_listed(docs, build_bitmap(listed, ["doc_id"]), [F.col("doc_id")])
+    cells = rows.join(texts, "doc_id").select("pivot", "i", "j", "doc_id", "component", "outer", "text")
+    return cells.groupBy("pivot", "i", "j").applyInArrow(_block_comparer(shingle, percent), "a long, b long")
+
+
 def minhash_dedup(
-    docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 3, collections: int = 16, rounds: int = 2
+    docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 3, collections: int = 16, block: int = 400_000
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text, ...).
 
@@ -113,12 +165,15 @@ def minhash_dedup(
     signed = materialize(docs.mapInArrow(_signer(shingle, rows, collections), SIGNATURE), "signatures")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
 
-    # Classes of equal sets.
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    several = classes.where("copies > 1").select("digest", "rep")
-    copies = full.select("doc_id", "digest").join(several, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # Classes of equal sets, each with the signature of its smallest id.
+    classes = materialize(
+        full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min_by("parts", "doc_id").alias("parts"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies")),
+        "classes",
+    )
+    several = classes.where("copies > 1").select("digest", F.col("doc_id").alias("b"))
+    copies = full.select(F.col("doc_id").alias("a"), "digest").join(several, "digest").where("a <> b").select("a", "b").distinct()
     links = materialize(copies, "copies")
-    leaders = full.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
+    leaders = classes
 
     # Collections that some other class shares; only pairs of those can make a shared table key.
     exploded = leaders.select("doc_id", F.posexplode("parts").alias("slot", "part"))
@@ -133,50 +188,35 @@ def minhash_dedup(
         ),
         "buckets",
     )
-    used = [signed, links]
-    tried = None
+    tops = buckets.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("top"), F.count("*").alias("n")).where("n > 1")
+    pivots = materialize(tops.select("key", (-F.col("top.minus")).alias("pivot")), "pivots")
+    groups = materialize(buckets.join(pivots, "key").where("doc_id <> pivot").select("pivot", "doc_id").distinct(), "groups")
+    used = [classes, buckets, pivots, groups, links]
     components = None
-    for turn in range(rounds + 1):
-        members = buckets.select("key", "doc_id", "weight")
-        if components is not None:
-            members = members.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-                "key", "doc_id", "weight", F.coalesce("component", "doc_id").alias("component")
-            )
-        else:
-            members = members.withColumn("component", F.col("doc_id"))
-        open_keys = members.groupBy("key").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"),
-            F.max(F.struct("weight", -F.col("doc_id"), "component")).alias("top"),
-        ).where("lo < hi")
-        if turn < rounds:
-            # A later round takes its pivot from the component that holds the least document outside the first pivot's.
-            if turn:
-                inside = members.join(open_keys.select("key", F.col("top.component").alias("done")), "key").where("component <> done")
-                open_keys = inside.groupBy("key").agg(F.max(F.struct("weight", -F.col("doc_id"), "component")).alias("top"))
-            pivots = open_keys.select("key", (-F.col("top.col2")).alias("b"), F.col("top.component").alias("cb"))
-            pairs = members.join(pivots, "key").where("component <> cb").select(F.col("doc_id").alias("a"), "b")
-        else:
-            rest = members.join(open_keys.select("key"), "key").select("key", "doc_id", "component")
-            other = rest.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-            pairs = rest.join(other, "key").where("doc_id > b AND component <> cb").select(F.col("doc_id").alias("a"), "b")
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        used.append(pairs)
-        if pairs.isEmpty():
-            break
+    if not groups.isEmpty():
+        pairs = groups.select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct()
         found = materialize(confirm(docs, pairs, shingle, percent), "links")
         links = links.unionByName(found)
-        used.append(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        components = materialize(connected_components(links, "a", "b"), "components")
-        used.append(components)
+        first = materialize(connected_components(links, "a", "b"), "components")
+        known = first.select(F.col("node").alias("doc_id"), "component")
+        members = (
+            groups.join(known, "doc_id", "left")
+            .join(known.select(F.col("doc_id").alias("pivot"), F.col("component").alias("pivot_component")), "pivot", "left")
+            .join(classes.select("doc_id", "n_shingles"), "doc_id")
+            .select("pivot", "doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("pivot_component", "pivot").alias("pivot_component"), "n_shingles")
+        )
+        members = materialize(members, "members")
+        more = materialize(compare_groups(docs, members, shingle, percent, block), "links")
+        used += [found, first, members, more]
+        if not more.isEmpty():
+            links = links.unionByName(more)
+        else:
+            components = first
     if components is None:
-        components = connected_components(links, "a", "b")
+        components = materialize(connected_components(links, "a", "b"), "components")
     out = signed.select("doc_id", "n_shingles").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     result = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
-    discard(buckets, *[t for t in used if t is not signed and t is not components])
+    discard(*[t for t in used if t is not components])
     return result
