@@ -16,6 +16,7 @@ from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .lm_score import lm_score
 from .minhash_dedup import minhash_dedup
+from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 from .toxicity import toxicity
 
@@ -57,6 +58,10 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe_codec": op6_bpe_codec,
     "op7_decontaminate": op7_decontaminate,
     "op8_lm_score": op8_lm_score,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
