@@ -26,6 +26,11 @@ def _lit(x: str) -> Column:
     return F.lit(x)
 
 
+def let(value: Column, body) -> Column:
+    """body of value, which is evaluated once; a column that lambdas use is else evaluated for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -50,9 +55,12 @@ def norm_fact(c: Column) -> Column:
 
 def gram_list(c: Column, n: int) -> Column:
     """All runs of n characters, with repeats; empty if the text is shorter."""
-    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n)))).otherwise(
-        F.array().cast("array<string>")
-    )
+
+    def grams(x: Column) -> Column:
+        places = F.sequence(F.lit(1), F.length(x) - (n - 1))
+        return F.when(F.length(x) >= n, F.transform(places, lambda i: F.substr(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return let(c, grams)
 
 
 def gram_set(c: Column, n: int = 3) -> Column:
@@ -61,13 +69,17 @@ def gram_set(c: Column, n: int = 3) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets; 0 if either is empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
+
+    def share(x: Column) -> Column:
+        both = F.size(F.array_intersect(x["a"], x["b"]))
+        return F.when((F.size(x["a"]) == 0) | (F.size(x["b"]) == 0), F.lit(0.0)).otherwise(both / (F.size(x["a"]) + F.size(x["b"]) - both))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), share)
 
 
 def coverage(part: Column, whole: Column) -> Column:
     """Share of the first set that the second holds; 0 if the first is empty."""
-    return F.when(F.size(part) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(part, whole)) / F.size(part))
+    return let(part, lambda p: F.when(F.size(p) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(p, whole)) / F.size(p)))
 
 
 def index_tokens(c: Column, stop: list[str] = STOP_WORDS) -> Column:
@@ -130,8 +142,10 @@ def citation_ids(c: Column) -> Column:
 def page_number(lines: Column) -> Column:
     """The page number in the last two lines that aren't blank, the bottom one first, by the first pattern that fits."""
     rows = F.filter(F.transform(lines, strip), lambda x: x != "")
+
     def of(line: Column) -> Column:
         return F.coalesce(*[F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in PAGE_MARKS])
+
     last = F.try_element_at(rows, F.lit(-1))
     before = F.try_element_at(rows, F.lit(-2))
     return F.coalesce(of(last), of(before)).try_cast("int")

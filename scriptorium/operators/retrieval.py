@@ -41,12 +41,12 @@ def bm25(chunks: DataFrame, key: str, text: str, questions: DataFrame, tokens=fx
     Only rows of question terms leave the scan: the terms' table is as small as the
     questions, so the tokens meet it before anything is shuffled.
     """
-    toks = tokens(F.col(text))
+    split = chunks.select(key, tokens(F.col(text)).alias("_t"))  # once a text, not once a token
     wanted = questions.select("qid", F.explode(fx.query_tokens(F.col("question"))).alias("term")).distinct()
     terms = wanted.select("term").distinct()
-    hits = chunks.select(key, F.size(toks).cast("long").alias("dl"), F.explode(toks).alias("term")).join(terms, "term", "left_semi")
+    hits = split.select(key, F.size("_t").cast("long").alias("dl"), F.explode("_t").alias("term")).join(terms, "term", "left_semi")
     tf = hits.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    total = corpus_stats(doc_stats(chunks, key, toks))
+    total = corpus_stats(doc_stats(split, key, F.col("_t")))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weighted = tf.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(total))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

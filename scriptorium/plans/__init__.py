@@ -1 +1,6 @@
 """Registered queries with their SQL."""
+
+from . import curation, retrieval
+
+QUERIES = retrieval.QUERIES | curation.QUERIES
+ORACLES = retrieval.ORACLES | curation.ORACLES
