@@ -1,6 +1,6 @@
 """Registered queries with their SQL."""
 
-from . import curation, retrieval
+from . import business, curation, evaluation, retrieval
 
-QUERIES = retrieval.QUERIES | curation.QUERIES
-ORACLES = retrieval.ORACLES | curation.ORACLES
+QUERIES = retrieval.QUERIES | curation.QUERIES | evaluation.QUERIES | business.QUERIES
+ORACLES = retrieval.ORACLES | curation.ORACLES | evaluation.ORACLES | business.ORACLES
