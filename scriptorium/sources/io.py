@@ -46,15 +46,16 @@ def read_vectors(spark: SparkSession, path: str, key: str = "chunk_id") -> DataF
 
 def read_env(spark: SparkSession, path: str) -> DataFrame:
     """(name, value) of NAME=value lines; blank lines, comments and lines without = are skipped."""
-    line = F.trim("value")
-    rows = spark.read.text(path).where((line != "") & ~line.startswith("#") & F.contains(line, F.lit("=")))
-    part = F.split(line, "=", 2)
-    return rows.select(F.trim(part[0]).alias("name"), F.trim(part[1]).alias("value"))
+    # Spark's readers skip files whose names begin with a dot; settings lie beside the driver.
+    with open(path, encoding="utf-8") as f:
+        lines = [x.strip() for x in f]
+    parts = [x.split("=", 1) for x in lines if x and not x.startswith("#") and "=" in x]
+    return spark.createDataFrame([(n.strip(), v.strip()) for n, v in parts], "name string, value string")
 
 
 def load_env(spark: SparkSession, path: str) -> None:
     """Sets what isn't set yet; a settings file is a few lines."""
-    for row in read_env(spark, path).limit(1000).toLocalIterator():
+    for row in read_env(spark, path).toLocalIterator():
         os.environ.setdefault(row["name"], row["value"])
 
 
