@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .io import retried
 
@@ -34,7 +35,7 @@ def generate_rows(chunks: DataFrame, ask: Callable[[str], list[dict]], text: str
 def judge(rows: DataFrame, cache: DataFrame, key: str, text: str, ask: Callable[[str], tuple[int, int, str]]) -> DataFrame:
     """(key, grounded, natural, reason): cached verdicts of zero or more stay, the others are asked; a failed call is -1, -1."""
     good = cache.where("grounded >= 0").select(key, "grounded", "natural", "reason")
-    schema = rows.select(key).schema.add("grounded", "int").add("natural", "int").add("reason", "string")
+    schema = rows.select(key).schema.add("grounded", "integer").add("natural", "integer").add("reason", "string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -73,6 +74,6 @@ def embed(rows: DataFrame, key: str, text: str, encode: Callable[[list[str]], li
                 out += halves([t[:limit] for t in part[text].iloc[lo : lo + batch]])
             yield pd.DataFrame({key: part[key], "embedding": out})
 
-    made = rows.select(key, text).mapInPandas(run, rows.select(key).schema.add("embedding", "array<double>"))
+    made = rows.select(key, text).mapInPandas(run, rows.select(key).schema.add("embedding", ArrayType(DoubleType())))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     return made.select(key, F.transform("embedding", lambda x: (x / F.greatest(norm, F.lit(1e-12))).cast("float")).alias("embedding"))
