@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .bpe_core import MergeTable, byte_letters, load_table
+from .bpe_core import LONG, MergeTable, byte_letters, load_table
 from .pretokens import bare_pieces, code_points, cut_specials, piece_hashes
 
 #: Distinct words of one worker's memory; beyond it the memory starts anew.
@@ -72,10 +72,9 @@ class Transducer:
         """The tokens of the window that end at ``upto`` or before."""
         if not self.held:
             return []
-        size = np.array([len(self.held)])
-        last = self.table.solve(np.array(self.held, np.int64), size)[1]
+        last = self.table.solve_one(np.array(self.held, np.int64))[1]
         tokens, end = [], 0
-        for t in self.table.trace(last[0], len(self.held)):
+        for t in self.table.trace(last, len(self.held)):
             end += int(self.table.length[t])
             if end > upto:
                 break
@@ -143,7 +142,7 @@ class WordCodec:
         out: list[list[int]] = [[]] * len(starts)
         sizes = ends - starts
         order = np.argsort(sizes, kind="stable")
-        fits = int(np.searchsorted(sizes[order], 4 * self.lookahead))
+        fits = int(np.searchsorted(sizes[order], min(LONG, 4 * self.lookahead)))
         lo = 0
         while lo < fits:
             # A part's matrices have at most about a million cells, or hold one word.

@@ -18,6 +18,8 @@ from .textbytes import mix
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _NONE = np.int32(-1)
+#: Words of more symbols are solved one by one.
+LONG = 256
 
 
 def byte_letters() -> list[str]:
@@ -166,6 +168,50 @@ class MergeTable:
         back[order] = np.arange(n)
         return counts[back], last[back]
 
+    def _compatible_one(self, a: int, b: int) -> bool:
+        """compatible() for one pair."""
+        limit = len(self.left)
+        while True:
+            joined = self.rank.get((a, b), -1)
+            if 0 <= joined < limit:
+                return False
+            if a > b and a >= self.base:
+                limit, a = a, self.right_of[a]
+            elif b >= self.base:
+                limit, b = b + 1, self.left_of[b]
+            elif a >= self.base:
+                limit, a = a, self.right_of[a]
+            else:
+                return True
+
+    def solve_one(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, last) of one word, symbol by symbol: for words too long to be solved side by side."""
+        if not hasattr(self, "by_text"):
+            self.by_text = {"".join(map(chr, x)): t for x, t in self.canonical.items()}
+            self.left_of, self.right_of = self.left.tolist(), self.right.tolist()
+            self.pair_memory: dict[tuple[int, int], bool] = {}
+        text = "".join(map(chr, symbols.tolist()))
+        sizes, memory, known = self.lengths.tolist(), self.pair_memory, self.by_text
+        counts, last = [0], [-1]
+        for i in range(1, len(text) + 1):
+            for size in sizes:
+                token = known.get(text[i - size : i]) if size <= i else None
+                if token is None:
+                    continue
+                if size < i:
+                    pair = (last[i - size], token)
+                    fits = memory.get(pair)
+                    if fits is None:
+                        if len(memory) > 1_000_000:
+                            memory.clear()
+                        fits = memory[pair] = self._compatible_one(*pair)
+                    if not fits:
+                        continue
+                counts.append(counts[i - size] + 1)
+                last.append(token)
+                break
+        return np.array(counts, np.int32), np.array(last, np.int32)
+
     def trace(self, last: np.ndarray, end: int) -> list[int]:
         """The tokens of the prefix of that length."""
         out, i = [], end

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .bpe_core import byte_letters, load_table
+from .bpe_core import LONG, byte_letters, load_table
 from .pretokens import code_points, cut_specials, piece_hashes, spaced_pieces
 
 #: Pieces of one worker's memory; beyond it the memory starts anew.
@@ -39,8 +39,11 @@ class PrefixCounter:
     def solve(self, pieces: list[str]) -> list[np.ndarray]:
         """For each piece the token count of every prefix, by bytes."""
         out = []
+        encoded = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        if any(len(r) > LONG for r in encoded):
+            return [self.table.solve_one(self.symbol_of[np.frombuffer(r, np.uint8)])[0] for r in encoded]
         for lo in range(0, len(pieces), 1000):
-            raw = [p.encode("utf-8", "surrogatepass") for p in pieces[lo : lo + 1000]]
+            raw = encoded[lo : lo + 1000]
             sizes = np.array([len(r) for r in raw])
             counts = self.table.solve(self.symbol_of[np.frombuffer(b"".join(raw), np.uint8)], sizes)[0]
             out += [c[: n + 1] for c, n in zip(counts, sizes)]
@@ -51,6 +54,10 @@ class PrefixCounter:
         out = np.empty(len(starts), np.int64)
         sizes = ends - starts
         order = np.argsort(sizes, kind="stable")
+        fits = int(np.searchsorted(sizes[order], LONG, "right"))
+        for i in order[fits:]:
+            out[i] = self.table.solve_one(self.symbol_of[data[starts[i] : ends[i]]])[0][-1]
+        order = order[:fits]
         lo = 0
         while lo < len(order):
             # A part's matrices have at most about a million cells, or hold one piece.
