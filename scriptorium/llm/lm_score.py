@@ -109,26 +109,27 @@ def count_corpus(docs: DataFrame) -> DataFrame:
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def train_classes(contexts: DataFrame, steps: int = 12, rate: float = 0.5, decay: float = 1e-6) -> np.ndarray:
+def train_classes(contexts: DataFrame, steps: int = 12, prior: float = 8.0) -> np.ndarray:
     """Weights (buckets x classes) by distributed gradient steps over the counted contexts (key, n).
 
     There are at most CLASSES ** 4 contexts, however large the corpus. A task sums
-    the gradient of its contexts and tasks' gradients are added by bucket; the
-    weights move by the sum over the size that each bucket has seen (a diagonal bound
-    on the curvature), so steps need no tuning to the corpus.
+    the gradient (observed less expected counts) and the expected counts of its
+    contexts in two arrays of fixed size, which are added over the tasks. A weight
+    moves by log(1 + gradient / (expected + prior)), shared out among the features
+    that fire together, a step that never lowers the likelihood (but for the prior,
+    by which rare contexts hardly move).
     """
     spark = contexts.sparkSession
     weights = np.zeros((BUCKETS, CLASSES))
     parts = contexts.select(F.shiftright("key", CLASS_BITS).alias("context"), (F.col("key") % CLASSES).cast("int").alias("label"), "n").repartition(8, "context")
     parts = materialize(parts, "contexts")
-    square = np.zeros_like(weights)
-    speed = np.zeros_like(weights)
-    for step in range(1, steps + 1):
+    share = _features(np.zeros(1, np.int64)).shape[1]
+    for _ in range(steps):
         now = spark.sparkContext.broadcast(weights.astype(np.float32))
 
         def gradient(batches, now=now):
             w = now.value.astype(np.float64)
-            total, tokens = np.zeros_like(w), 0.0
+            sums = np.zeros((2, *w.shape))
             for batch in batches:
                 context, label, n = (np.asarray(c) for c in batch.columns)
                 distinct, where = np.unique(context, return_inverse=True)
@@ -137,29 +138,21 @@ def train_classes(contexts: DataFrame, steps: int = 12, rate: float = 0.5, decay
                 for lo in range(0, len(distinct), 4096):
                     features = _features(distinct[lo : lo + 4096].astype(np.int64))
                     c = counts[lo : lo + 4096]
-                    g = c - c.sum(1, keepdims=True) * np.exp(_log_softmax(w, features))
-                    for k in range(features.shape[1]):
-                        np.add.at(total, features[:, k], g)
-                    tokens += c.sum()
-            used = np.flatnonzero(np.abs(total).sum(1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(used, -1), pa.int64()), pa.array([*total[used].tolist(), [tokens]], pa.list_(pa.float64()))], names=["bucket", "g"]
-            )
-
-        rows = parts.mapInArrow(gradient, "bucket long, g array<double>").collect()
+                    p = np.exp(_log_softmax(w, features))
+                    total = c.sum(1, keepdims=True)
+                    expected = total * p
+                    for k in range(share):
+                        np.add.at(sums[0], features[:, k], c - expected)
+                        np.add.at(sums[1], features[:, k], expected)
+            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+
+        sums = np.zeros((2, *weights.shape))
+        for row in parts.mapInArrow(gradient, "sums binary").toLocalIterator():
+            sums += np.frombuffer(row["sums"], np.float64).reshape(sums.shape)
         now.unpersist()
-        total, tokens = np.zeros_like(weights), 0.0
-        for bucket, g in sorted((r["bucket"], r["g"]) for r in rows):
-            if bucket < 0:
-                tokens += g[0]
-            else:
-                total[bucket] += g
-        if not tokens:
+        if not sums[1].any():
             break
-        g = total / tokens - decay * weights
-        speed = 0.9 * speed + 0.1 * g
-        square = 0.99 * square + 0.01 * g**2
-        weights = weights + rate * (speed / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-7) / np.sqrt(step)
+        weights = weights + np.log1p(sums[0] / (sums[1] + prior)) / share
     discard(parts)
     return weights
 
