@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from . import chat_format as chat
 from . import decontaminate as decon
 from . import exact_dedup as exact
+from . import minhash_dedup as minhash
 from .bpe_codec import bpe_codec
 from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .lm_score import lm_score
-from .minhash_dedup import minhash_dedup
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 from .toxicity import toxicity
@@ -26,7 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    return minhash.minhash_dedup(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_minhash_dedup": minhash.ORACLE_SQL,
     "op2_chat_format": chat.ORACLE_SQL,
     "op4_exact_dedup": exact.ORACLE_SQL,
     "op7_decontaminate": decon.ORACLE_SQL,
