@@ -36,9 +36,9 @@ def test_fusion_and_caps(spark):
     assert rows(rt.cap(capped, F.col("company"), 2, [F.col("rank")]).select("rank")) == [(0,), (1,)]
 
 
-@pytest.mark.parametrize("q, mode", [("所有者权益合计是多少", "fanout"), ("贵州茅台和五粮液对比", "multi"), ("贵州茅台分别是多少", "fanout"), ("收入", "global")])
+@pytest.mark.parametrize("q, mode", [("所有者权益合计是多少", "fanout"), ("甲公司和乙公司对比", "multi"), ("甲公司分别是多少", "fanout"), ("收入", "global")])
 def test_route(spark, q, mode):
-    assert spark.range(1).select(rt.route(F.lit(q), ["贵州茅台", "五粮液"])).first()[0] == mode
+    assert spark.range(1).select(rt.route(F.lit(q), ["甲公司", "乙公司"])).first()[0] == mode
 
 
 def test_greedy_keeps_what_a_dropped_row_resembles(spark):
