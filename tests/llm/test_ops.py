@@ -307,4 +307,4 @@ def test_toxicity(spark, edges, empty):
         assert any(b in t.split(".")[got[k].worst_sentence] for b in bad)
     got = toxicity(edges, marks).collect()
     assert len(got) == len(EDGES) and all(0 <= r.score <= 1 for r in got) and all(r.predicted == (r.score >= 0.3) for r in got)
-    assert toxicity(empty, marks).count() == 0 and {r.score for r in toxicity(edges, marks.limit(0)).collect()} <= {r.score for r in toxicity(edges, marks.limit(0)).collect()}
+    assert toxicity(empty, marks).count() == 0 and max(r.score for r in toxicity(edges, marks.limit(0)).collect()) < 1e-6
