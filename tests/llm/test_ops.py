@@ -286,6 +286,27 @@ def test_substring(spark, docs, edges, empty):
     assert substring_dedup(empty).count() == 0
 
 
+def spans_of(df):
+    spans = collections.defaultdict(list)
+    for r in substring_dedup(df).collect():
+        spans[r.doc_id].append((r.start_word, r.end_word))
+    return spans
+
+
+def test_substring_variants(spark):
+    """Texts with one edit each are similar to the unedited one alone, which isn't the smallest doc_id."""
+    rows = []
+    for g in range(6):
+        text = [f"g{g}w{i}" for i in range(56)]
+        for v in range(9):
+            edited = [*text[: 5 * v + 7], f"g{g}v{v}", *text[5 * v + 8 :]]
+            rows.append((100 * g + v, " ".join([*(f"a{g}x{v}y{i}" for i in range(40)), *edited, *(f"b{g}x{v}y{i}" for i in range(40))])))
+        rows.append((100 * g + 50, " ".join(text)))
+    spans = spans_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    missed = [k for k, _ in rows if not spans[k]]
+    assert len(missed) <= 1, missed
+
+
 def test_toxicity(spark, edges, empty):
     r = random.Random(2)
     bad = ["scum", "idiot"]
