@@ -6,11 +6,14 @@ text are the nodes of the Cartesian tree over its hashes; those of at least the
 passage length number about 2 n / length. Two passages of similarity J have their
 smallest hash in common with probability J under each function, so windows of
 equal hash, joined over a few functions, find all similar passages; windows must
-overlap around c by a passage's length. What is found is verified on the words.
+overlap around c by a passage's length. What is found is verified on the words
+along its diagonal and the diagonals beside it.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -181,6 +184,38 @@ def _passages(x: np.ndarray, y: np.ndarray, shift: int, least: int, percent: int
         todo += [(s, a), (b, e)]
 
 
+def _shifted(x: np.ndarray, y: np.ndarray, shift: int, least: int, percent: int):
+    """(from, to, from in y, to in y) of the similar passages near one diagonal: words may be put in or left out inside them."""
+    # So many words may be missing from one of two similar passages whose parts are too short by themselves.
+    band = 2 * least * (100 - percent) // max(1, percent)
+    lo, hi = max(0, shift - band), min(len(x), len(y) + shift + band)
+    if hi - lo < least:
+        return
+    # near[i] is the offset of the diagonal closest to this one on which place lo + i matches.
+    near = np.full(hi - lo, band + 1)
+    for off in sorted(range(-band, band + 1), key=lambda o: (-abs(o), o)):
+        a, b = max(lo, shift + off), min(hi, len(y) + shift + off)
+        if a < b:
+            near[a - lo : b - lo][x[a:b] == y[a - shift - off : b - shift - off]] = off
+    match = near <= band
+    todo = [(0, hi - lo)]
+    while todo:
+        s, e = todo.pop()
+        if e - s < least or np.count_nonzero(match[s:e]) < least // 2:
+            continue
+        a, b = _longest(match[s:e], percent)
+        a, b = a + s, b + s
+        if b - a < least:
+            continue
+        c, d = lo + a - shift - int(near[a]), lo + b - shift - int(near[b - 1])
+        if d - c >= least:
+            left, right = np.unique(x[lo + a : lo + b]), np.unique(y[c:d])
+            both = len(np.intersect1d(left, right, assume_unique=True))
+            if 100 * both >= percent * (len(left) + len(right) - both):
+                yield lo + a, lo + b, c, d
+        todo += [(s, a), (b, e)]
+
+
 def _verify(size: int, least: int, percent: int):
     def run(batches):
         word = tb.whitespace_words()
@@ -198,6 +233,11 @@ def _verify(size: int, least: int, percent: int):
                         for s, e in _passages(x, y, shift, least, percent):
                             out.append((p, s, e + size - 1, q))
                             out.append((q, s - shift, e - shift + size - 1, p))
+                        # What is too long by one side's count of edits may not be by the other's.
+                        sides = [_shifted(x, y, shift, least, percent), ((s, e, c, d) for c, d, s, e in _shifted(y, x, -shift, least, percent))]
+                        for s, e, c, d in itertools.chain(*sides):
+                            out.append((p, s, e + size - 1, q))
+                            out.append((q, c, d + size - 1, p))
                 columns = list(zip(*out)) if out else [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start_word", "end_word", "partner_id"])
 
@@ -260,7 +300,8 @@ def substring_dedup(docs: DataFrame, words: int = 50, size: int = 5, percent: in
 
     A passage has at least ``words`` words (counted from 0; end_word is the first
     word after it) and its set of shingles of ``size`` words is similar, by percent,
-    to that of a passage of the same length in the document partner_id. Overlapping
+    to that of such a passage in the document partner_id, which may have words put in
+    or left out. Overlapping
     passages of a document are one; partner_id is then the smallest of their
     partners. Groups of copies aren't expanded: every member is verified against
     the group's smallest doc_id, and windows for which that finds no passage against

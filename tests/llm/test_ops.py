@@ -307,6 +307,18 @@ def test_substring_variants(spark):
     assert len(missed) <= 1, missed
 
 
+def test_substring_inserted_word(spark):
+    """One word put into the middle leaves both halves too short for a passage of their own."""
+    rows = []
+    for g, n in enumerate((60, 80, 95) * 3):
+        text = [f"g{g}w{i}" for i in range(n)]
+        for v, body in enumerate((text, [*text[: n // 2], "more", *text[n // 2 :]])):
+            rows.append((10 * g + v, " ".join([*(f"a{g}x{v}y{i}" for i in range(30)), *body, *(f"b{g}x{v}y{i}" for i in range(30))])))
+    spans = spans_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    wide = [k for k, t in rows if [(s, e) for s, e in spans[k]] != [(30, len(t.split()) - 30)]]
+    assert len(wide) <= 2, (wide, spans)
+
+
 def test_toxicity(spark, edges, empty):
     r = random.Random(2)
     bad = ["scum", "idiot"]
