@@ -324,9 +324,13 @@ def substring_dedup(docs: DataFrame, words: int = 50, size: int = 5, percent: in
     rows = materialize(
         windows.select("doc_id", "l", "c", "r", "around", F.explode(F.array("right", "left")).alias("key")).where("key IS NOT NULL"), "windows"
     )
-    tops = rows.groupBy("key").agg(F.min(F.struct("doc_id", "c", "l", "r")).alias("top"), F.max("doc_id").alias("most")).where("top.doc_id < most")
-    tops = materialize(tops.select("key", *[F.col(f"top.{x}").alias(f"{x}2") for x in ("doc_id", "l", "c", "r")]), "tops")
-    shared = rows.join(tops, "key").where((F.col("doc_id") != F.col("doc_id2")) & _meets(least * percent // 100))
+    # The smallest document's own places of a key meet a place of the key's largest document.
+    place = F.struct("doc_id", "c", "l", "r")
+    tops = rows.groupBy("key").agg(F.min(place).alias("top"), F.max(place).alias("last")).where("top.doc_id < last.doc_id")
+    tops = materialize(tops, "tops")
+    other = F.when(F.col("doc_id") == F.col("top.doc_id"), F.col("last")).otherwise(F.col("top"))
+    shared = rows.join(tops, "key").select("doc_id", "l", "c", "r", *[other[x].alias(f"{x}2") for x in ("doc_id", "c", "l", "r")])
+    shared = shared.where(_meets(least * percent // 100))
     first = materialize(_verified(docs, shared, size, least, percent), "found")
     rest = _unexplained(rows, tops, first, size, least, percent)
     found = materialize(first.unionByName(_verified(docs, rest, size, least, percent)), "found")

@@ -319,6 +319,18 @@ def test_substring_inserted_word(spark):
     assert len(wide) <= 2, (wide, spans)
 
 
+def test_substring_twice_in_smallest(spark):
+    """A passage that stands twice in the smallest document is reported for both places."""
+    rows = []
+    for g in range(12):
+        text = " ".join(f"g{g}w{i}" for i in range(60))
+        fill = [" ".join(f"{part}{g}x{i}" for i in range(30)) for part in "abcde"]
+        rows.append((10 * g, " ".join([fill[0], text, fill[1], text, fill[2]])))
+        rows.append((10 * g + 1, " ".join([fill[3], text, fill[4]])))
+    spans = spans_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(sorted(spans[10 * g]) == [(30, 90), (120, 180)] and spans[10 * g + 1] == [(30, 90)] for g in range(12)), spans
+
+
 def test_toxicity(spark, edges, empty):
     r = random.Random(2)
     bad = ["scum", "idiot"]
