@@ -276,8 +276,12 @@ def _unexplained(rows: DataFrame, tops: DataFrame, found: DataFrame, size: int,
     spans = _merged(found.groupBy("doc_id", "start_word").agg(F.max("end_word").alias("end_word"), F.min("partner_id").alias("partner_id")))
     spans = spans.select("doc_id", "start_word", "end_word", part).groupBy("doc_id", "part").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     inside = F.coalesce(F.exists("spans", lambda s: (s["start_word"] <= F.col("c")) & (F.col("c") <= s["end_word"] - size)), F.lit(False))
-    members = rows.join(tops.select("key"), "key").withColumn("part", F.floor(F.col("c") / 64)).join(spans, ["doc_id", "part"], "left")
-    members = members.select("key", "doc_id", "l", "c", "r", "around", (~inside).alias("open"))
+    shared = rows.join(tops.select("key"), "key").withColumn("part", F.floor(F.col("c") / 64)).join(spans, ["doc_id", "part"], "left")
+    names = ["key", "doc_id", "l", "c", "r", "around"]
+    unmet = materialize(shared.where(~inside).select(*names), "unmet")
+    # A window without a passage is in both parts of the union; the flag's largest value holds.
+    members = keep_listed(rows.select(*names), build_bitmap(unmet.select("key").distinct(), ["key"]), [F.col("key")])
+    members = members.withColumn("open", F.lit(False)).unionByName(unmet.withColumn("open", F.lit(True)))
     # Equal surroundings of one key are one member: the smallest document's; a second document's is kept to meet it.
     ranges = F.explode(F.array(*[F.when(slot != 0, F.xxhash64("key", F.lit(i), slot)) for i in range(4) for slot in [F.expr(f"shiftright(around, {16 * i}) & 65535")]]))
     keyed = members.select("doc_id", "l", "c", "r", "around", "open", ranges.alias("near")).where("near IS NOT NULL")
