@@ -296,7 +296,12 @@ def _unexplained(rows: DataFrame, tops: DataFrame, found: DataFrame, size: int,
     every = F.explode(F.expr("sequence(0, blocks - 1)")).alias("block")
     outer = split.where("open").select("near", "doc_id", "l", "c", "r", F.pmod(F.hash("doc_id"), F.col("blocks")).alias("block"))
     inner = split.select("near", *[F.col(x).alias(f"{x}2") for x in ("doc_id", "l", "c", "r")], every)
-    return outer.join(inner, ["near", "block"]).where((F.col("doc_id") != F.col("doc_id2")) & _meets(least * percent // 100)).select("doc_id", "c", "doc_id2", "c2")
+    # Members that one stands for meet it.
+    mine = keyed.where("open").select("near", "around", "doc_id", "l", "c", "r").join(same.where("x.doc_id < y.doc_id").drop("open"), ["near", "around"])
+    other = F.when(F.col("doc_id") == F.col("x.doc_id"), F.col("y")).otherwise(F.col("x"))
+    copies = mine.select("doc_id", "l", "c", "r", *[other[n].alias(f"{n}2") for n in ("doc_id", "c", "l", "r")])
+    met = outer.join(inner, ["near", "block"]).select(*copies.columns).unionByName(copies)
+    return met.where((F.col("doc_id") != F.col("doc_id2")) & _meets(least * percent // 100)).select("doc_id", "c", "doc_id2", "c2")
 
 
 def substring_dedup(docs: DataFrame, words: int = 50, size: int = 5, percent: int = 80, functions: int = 5) -> DataFrame:

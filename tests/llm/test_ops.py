@@ -307,6 +307,15 @@ def test_substring_variants(spark):
     assert len(missed) <= 1, missed
 
 
+def test_substring_copies_of_variant(spark):
+    """Equal variants that their key's smallest document doesn't explain are all reported."""
+    text = [f"w{i}" for i in range(56)]
+    edit = lambda at: [*text[:at], f"v{at}", *text[at + 1 :]]
+    rows = [(0, " ".join(edit(12)))] + [(k, " ".join([*(f"a{k}y{i}" for i in range(40)), *edit(40), *(f"b{k}y{i}" for i in range(40))])) for k in range(1, 6)]
+    spans = spans_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(spans[k] for k in range(1, 6)), spans
+
+
 def test_substring_inserted_word(spark):
     """One word put into the middle leaves both halves too short for a passage of their own."""
     rows = []
