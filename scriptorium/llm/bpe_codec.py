@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .bpe_core import LONG, MergeTable, byte_letters, load_table
 from .pretokens import bare_pieces, code_points, cut_specials, piece_hashes
+from .workdir import small_batches
 
 #: Distinct words of one worker's memory; beyond it the memory starts anew.
 REMEMBERED = 250_000
@@ -263,7 +264,7 @@ def bpe_codec(docs: DataFrame, vocabulary: str, store: bool = False) -> DataFram
         program = codec(vocabulary)
         for batch in batches:
             rows, column = batch.column(0), batch.column(1)
-            for lo, hi in tb.text_slices(column, 2 * tb.PIECE):
+            for lo, hi in tb.text_slices(column):
                 texts = [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
                 words, bounds, owner, after = program.encode(texts)
                 number, id_text, token_text = program.count, program.id_text, program.token_text
@@ -294,4 +295,5 @@ def bpe_codec(docs: DataFrame, vocabulary: str, store: bool = False) -> DataFram
                     columns += [pa.array([[int(y) for y in x.split()] for x in ids], pa.list_(pa.int32())), pa.array(decoded)]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .pretokens import LETTER, classes, code_points
+from .workdir import small_batches
 
 UNDETERMINED = "und"
+#: N-grams whose vectors are made at a time, and n-grams of which a worker keeps the products with the prototypes.
+BLOCK, REMEMBERED = 256, 250_000
 
 
 def held_out(column: str = "doc_id", parts: int = 4, part: int = 2):
@@ -107,16 +110,54 @@ def text_grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _texts(column: pa.Array):
-    for lo, hi in tb.text_slices(column, 2 * tb.PIECE):
+    for lo, hi in tb.text_slices(column, tb.PIECE // 2):
         yield lo, hi, [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
 
 
+def _packed(table: np.ndarray) -> np.ndarray:
+    """A number for each n-gram; exact up to three letters, a hash beyond."""
+    out = np.zeros(len(table), np.uint64)
+    for place in range(table.shape[1]):
+        out = (tb.mix(out) if place > 2 else out) * np.uint64(1 << 21) + table[:, place]
+    return out
+
+
+class _Known:
+    """The products of n-grams with the prototypes, in ascending order of the n-grams' numbers."""
+
+    def __init__(self, space: Space, matrix: np.ndarray):
+        self.space, self.matrix = space, matrix
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.rows = np.empty(0, np.uint64), np.empty((0, len(self.matrix)))
+
+    def products(self, table: np.ndarray) -> np.ndarray:
+        if len(self.keys) > REMEMBERED:
+            self._forget()
+        keys = _packed(table)
+        order = np.argsort(keys)
+        asked = keys[order]
+        at = np.searchsorted(self.keys, asked)
+        new = np.ones(len(asked), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != asked[inside]
+        if new.any():
+            which = order[new]
+            rows = [self.space.grams(table[which[i : i + BLOCK]]).astype(np.float64) @ self.matrix.T for i in range(0, len(which), BLOCK)]
+            self.rows = np.insert(self.rows, at[new], np.concatenate(rows), axis=0)
+            self.keys = np.insert(self.keys, at[new], asked[new])
+        return self.rows[np.searchsorted(self.keys, keys)]
+
+
 def fit_prototypes(docs: DataFrame, dimensions: int = 2048, n: int = 3) -> dict[str, np.ndarray]:
     """language -> unit prototype, from all rows of docs(text, lang) whose text and lang aren't null.
 
     A task sums its rows' vectors by language, so what reaches the shuffle is one
-    vector for each task and language, and the driver gets one for each language.
+    vector for each task and language, and the driver gets one for each language:
+    both are bounded by the number of languages, not by the rows.
     """
+    small_batches(docs.sparkSession)
 
     def bundle(batches):
         space = Space(dimensions, n)
@@ -128,10 +169,10 @@ def fit_prototypes(docs: DataFrame, dimensions: int = 2048, n: int = 3) -> dict[
                 names = sorted(set(langs[lo:hi]))
                 which = np.array([names.index(x) for x in langs[lo:hi]])[owner]
                 counts = np.bincount(which * len(table) + number, minlength=len(names) * len(table)).reshape(len(names), -1)
-                for at in range(0, len(table), 4096):
-                    part = counts[:, at : at + 4096].astype(np.float32) @ space.grams(table[at : at + 4096]).astype(np.float32)
+                for at in range(0, len(table), BLOCK):
+                    part = counts[:, at : at + BLOCK].astype(np.float64) @ space.grams(table[at : at + BLOCK]).astype(np.float64)
                     for name, row in zip(names, part):
-                        sums[name] = sums.get(name, 0) + np.rint(row.astype(np.float64)).astype(np.int64)
+                        sums[name] = sums.get(name, 0) + np.rint(row).astype(np.int64)
         for name, row in sums.items():
             if isinstance(row, np.ndarray):
                 yield pa.RecordBatch.from_arrays(
@@ -160,23 +201,15 @@ def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], n: int
     dimensions = len(prototypes[names[0]]) if names else 1
     matrix = np.array([prototypes[x] for x in names], np.float64).reshape(len(names), dimensions)
     schema = "_row_id long, _lang string, _score double"
+    small_batches(docs.sparkSession)
 
     def predict(batches):
-        space = Space(dimensions, n)
-        known: dict[bytes, np.ndarray] = {}
+        known = _Known(Space(dimensions, n), matrix)
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, texts in _texts(batch.column(1)):
                 table, number, owner, letters = text_grams(texts, n)
-                keys = [r.tobytes() for r in table]
-                if len(known) > 500_000:
-                    known.clear()
-                new = [i for i, k in enumerate(keys) if k not in known]
-                for at in range(0, len(new), 4096):
-                    part = new[at : at + 4096]
-                    for i, row in zip(part, space.grams(table[part]).astype(np.float64) @ matrix.T):
-                        known[keys[i]] = row
-                weights = np.array([known[k] for k in keys]).reshape(len(keys), len(names))
+                weights = known.products(table)
                 sims = np.stack([np.bincount(owner, weights[number, j], len(texts)) for j in range(len(names))], 1) if names else np.zeros((len(texts), 1))
                 best = sims.argmax(1)
                 positive = np.maximum(sims, 0)

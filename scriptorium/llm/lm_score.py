@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .language_id import held_out
-from .workdir import discard, materialize
+from .workdir import discard, materialize, small_batches
 
 #: Classes of words; class 0 is the end of a text. A word's hash holds its class in the lowest bits.
 CLASS_BITS = 5
@@ -171,6 +171,7 @@ def lm_score(docs: DataFrame, head: int = 1 << 20, steps: int = 12) -> DataFrame
     the model gives all classes the same probability. Other columns are ignored; an
     empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counted = materialize(count_corpus(docs.where(~held_out(parts=10, part=0))), "counts")
     words = counted.where(F.col("kind") == WORD)

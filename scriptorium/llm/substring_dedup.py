@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .bitmap import build_bitmap, keep_listed
-from .workdir import discard, materialize
+from .workdir import discard, materialize, small_batches
 
 _PLACE_BITS = 24
 _PLACES = (1 << _PLACE_BITS) - 1
@@ -60,7 +60,7 @@ def _text_windows(column: pa.Array, size: int, functions: int, least: int):
     """For each slice of texts: first row, rows, and per function (number, document, value, l, c, r, shingles, starts)."""
     word = tb.whitespace_words()
     random = np.random.default_rng(23).integers(0, 1 << 63, (2, functions), dtype=np.uint64)
-    for lo, hi in tb.text_slices(column, 2 * tb.PIECE):
+    for lo, hi in tb.text_slices(column):
         hashes, counts = tb.word_hashes(column.slice(lo, hi - lo), word)
         ends = np.cumsum(counts)
         parts = [tb.shingles(hashes[e - n : e], size) if n >= size else np.empty(0, np.uint64) for e, n in zip(ends.tolist(), counts.tolist())]
@@ -323,6 +323,7 @@ def substring_dedup(docs: DataFrame, words: int = 50, size: int = 5, percent: in
     count, and rows that repeat a doc_id are the same document. Rows without doc_id
     are left out. Other columns are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     least = words - size + 1
     values = docs.select("text").mapInArrow(_values(size, functions, least), "value long, n long")

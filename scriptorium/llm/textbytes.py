@@ -83,7 +83,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def text_slices(column: pa.Array, limit: int = 4 * PIECE):
+def text_slices(column: pa.Array, limit: int = PIECE):
     """Row ranges (from, to) whose texts hold about limit bytes; a longer text is a range of its own."""
     offs = text_buffer(column)[1]
     first = 0

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .bpe_core import LONG, byte_letters, load_table
 from .pretokens import code_points, cut_specials, piece_hashes, spaced_pieces
+from .workdir import small_batches
 
 #: Pieces of one worker's memory; beyond it the memory starts anew.
 REMEMBERED = 400_000
@@ -218,6 +219,7 @@ def token_counts(docs: DataFrame, vocabulary: str, store: str = "totals") -> Dat
                     columns += [pa.array(x, pa.list_(pa.int64())) for x in (at, upto)]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(count, schema)
 
 
