@@ -4,9 +4,10 @@ An item's windows are its runs of ``window`` consecutive words. A document holds
 a window only if it holds all of the window's words, so by the prefix filter for
 full containment the one rarest word of a window has to be joined: the windows
 are indexed by it, rarity being the number of times a word occurs in all
-documents. A document's words meet the index; the positional bound drops places
-where the window would reach over an end of the document; what is left is
-compared with the item-sized run of words around it.
+documents. Documents' words meet the index's words by themselves, without their
+texts. Documents with such words are read again: the words around each place
+meet the index, the positional bound drops places where the window would reach
+over an end of the document, and the item-sized run is compared.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import build_bitmap, keep_listed
 from .workdir import discard, materialize
 
 #: Largest window index (in bytes of its words) that is broadcast; beyond it the index is joined by shuffle.
@@ -41,21 +43,23 @@ def _windows(items: DataFrame, window: int) -> DataFrame:
     return words.select("item_id", "words", starts.alias("at")).select("item_id", F.slice("words", F.col("at"), window).alias("w")).distinct()
 
 
+def word_lower(word: Column) -> Column:
+    """ascii_lower of one word; lower() does the same to a word that is all ASCII, and sooner."""
+    return F.when(F.length(word) == F.octet_length(word), F.lower(word)).otherwise(ascii_lower(word))
+
+
 def window_index(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """(token, at, w, item_ids): each distinct window under its rarest word; at is that word's place in it."""
+    """(token, at, w, item_ids): each distinct window under its rarest word; at is that word's place in it, from 1."""
     windows = _windows(items, window).groupBy("w").agg(F.collect_set("item_id").alias("item_ids"))
-    numbered = materialize(windows.withColumn("window_id", F.xxhash64("w")), "windows")
+    numbered = materialize(windows.withColumn("window_id", F.sha2(F.array_join("w", " "), 256)), "windows")
     places = numbered.select("window_id", F.posexplode("w").alias("at", "token"))
-    vocabulary = places.select(F.lower("token").alias("token")).distinct()
-    seen = docs.select(F.explode(words_of(F.lower(F.col("text").cast("string")))).alias("token"))
+    vocabulary = materialize(places.select("token").distinct(), "vocabulary")
+    seen = docs.select(F.explode(words_of(F.col("text").cast("string"))).alias("word")).select(word_lower(F.col("word")).alias("token"))
     counts = _join_small(seen, vocabulary, "token").groupBy("token").agg(F.count("*").alias("n"))
-    ranked = (
-        places.withColumn("token", F.lower("token")).join(counts, "token", "left")
-        .groupBy("window_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "token", "at")).alias("best"))
-    )
+    ranked = places.join(counts, "token", "left").groupBy("window_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "token", "at")).alias("best"))
     index = numbered.join(ranked, "window_id").select("best.token", (F.col("best.at") + 1).alias("at"), "w", "item_ids")
     out = materialize(index, "index")
-    discard(numbered)
+    discard(numbered, vocabulary)
     return out
 
 
@@ -65,35 +69,36 @@ def _small(table: DataFrame) -> bool:
     return (table.agg(size).first()[0] or 0) <= BROADCAST_BYTES
 
 
-def _join_small(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    return big.join(F.broadcast(small) if _small(small) else small, key, how)
+def _join_small(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """big with the rows of small: by broadcast if it is small, else by shuffle of the rows that a filter of fixed size lets pass."""
+    if _small(small):
+        return big.join(F.broadcast(small), key)
+    return keep_listed(big, build_bitmap(small.select(key), [key]), [F.col(key)]).join(small, key)
 
 
 def find_windows(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id, n_words, at, size, item_ids: one row for each place of a window, one at least for each document (nulls in the last three).
-
-    The first pass compares words in Unicode lower case, which can only find more,
-    since a rare letter may be equal to others in it; the second compares the places
-    found as A-Z a-z.
-    """
-    index = window_index(docs, items, window).withColumn("size", F.size("w")).withColumn("lowered", F.transform("w", F.lower))
+    """doc_id, n_words, at, size, item_ids: one row for each place of a window, one at least for each row of docs (nulls in the last three)."""
+    index = window_index(docs, items, window).withColumn("size", F.size("w"))
     text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    words = text.withColumn("words", words_of(F.lower("text")))
-    token = words.select("doc_id", "text", "words", F.posexplode_outer("words").alias("pos", "token"))
-    joined = _join_small(token, index, "token", "left").where("at IS NOT NULL OR pos IS NULL OR pos = 0")
+    text = text.withColumn("row_key", F.xxhash64("doc_id", "text"))  # equal rows have equal places
+    token = text.select("row_key", F.posexplode(words_of(F.col("text"))).alias("pos", "word")).select("row_key", "pos", word_lower(F.col("word")).alias("token"))
+    rare = materialize(index.select("token").distinct(), "tokens")
+    # A document's places, at most as many as it has words, in one row.
+    places = materialize(_join_small(token, rare, "token").groupBy("row_key").agg(F.collect_set("pos").alias("places")), "places")
+    n_words = F.size("words").cast("long").alias("n_words")
+    every = text.select("doc_id", words_of(F.col("text")).alias("words")).select("doc_id", n_words)
+    listed = keep_listed(text, build_bitmap(places, ["row_key"]), [F.col("row_key")]).join(places, "row_key")
+    # The words around a place, so that what is joined doesn't carry its text.
+    first = lambda p: F.greatest(p - (window - 1), F.lit(0))
+    around = lambda p: F.struct(p.alias("pos"), F.slice("words", first(p) + 1, p - first(p) + window).alias("near"))
+    near = listed.select("doc_id", "places", words_of(F.col("text")).alias("words")).select("doc_id", n_words, F.explode(F.transform("places", around)).alias("x"))
+    near = near.select("doc_id", "n_words", "x.pos", F.transform("x.near", word_lower).alias("near")).withColumn("mine", F.least("pos", F.lit(window - 1)))
+    met = _join_small(near.withColumn("token", F.element_at("near", F.col("mine") + 1)), index, "token")
     begin = F.col("pos") - F.col("at") + 2
-    fits = (begin >= 1) & (begin + F.col("size") - 1 <= F.size("words"))
-    near = fits & F.when(fits, F.slice("words", F.greatest(begin, F.lit(1)), F.col("size")) == F.col("lowered"))
-    exact = F.when(near, ascii_lower(F.array_join(F.slice(words_of(F.col("text")), F.greatest(begin, F.lit(1)), F.col("size")), " ")) == F.array_join("w", " "))
-    hit = F.coalesce(exact, F.lit(False))
-    return (
-        joined.withColumn("hit", hit)
-        .where("hit OR pos IS NULL OR pos = 0")
-        .select(
-            "doc_id", F.size("words").cast("long").alias("n_words"),
-            F.when(F.col("hit"), begin).alias("at"), F.when(F.col("hit"), F.col("size")).alias("size"), F.when(F.col("hit"), F.col("item_ids")).alias("item_ids"),
-        )
-    )
+    fits = (begin >= 1) & (begin + F.col("size") - 1 <= F.col("n_words"))
+    run = F.slice("near", F.greatest(F.col("mine") - F.col("at") + 2, F.lit(1)), F.col("size"))
+    hits = met.where(fits & (run == F.col("w"))).select("doc_id", "n_words", begin.alias("at"), "size", "item_ids")
+    return every.select("doc_id", "n_words", *[F.lit(None).cast(t).alias(c) for c, t in (("at", "int"), ("size", "int"), ("item_ids", hits.schema["item_ids"].dataType))]).unionByName(hits)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
