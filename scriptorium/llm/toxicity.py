@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .language_id import held_out
+from .workdir import discard, materialize, small_batches
 
 #: Labelled documents that the fit reads at most (the smallest hashes of their ids).
 SAMPLE = 20_000
@@ -58,96 +59,131 @@ def _noisy_or(weights, bias, words, sentence, doc, n_docs):
     return p, np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n_docs)
 
 
-def _fit(texts: pa.Array, labels: np.ndarray, buckets: int, steps: int, min_docs: int) -> tuple[np.ndarray, float]:
-    """Gradient steps (with momentum per weight) on the documents' log-likelihood, each class weighing the same for the words' first guess."""
-    words, sentence, doc = [], [], []
-    base_s = base_d = 0
-    for lo, hi in tb.text_slices(texts):
-        w, s, d = _sentences(texts.slice(lo, hi - lo), buckets)
-        # A word counts once in a sentence.
-        pair = np.unique(s * buckets + w)
-        words.append(pair % buckets)
-        sentence.append(pair // buckets + base_s)
-        doc.append(d + base_d)
-        base_s += len(d)
-        base_d += hi - lo
-    words, sentence, doc = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (words, sentence, doc))
-    n = len(labels)
-    weights, bias = np.zeros(buckets), -6.0
-    if not n or not labels.any() or labels.all():
-        return weights, (30.0 if n and labels.all() else -30.0)
-    # Only words of enough documents can be learned from; log-odds of a document with the word are the first guess.
-    pairs = np.unique(doc[sentence] * buckets + words)
-    where, what = pairs // buckets, pairs % buckets
-    in_all = np.bincount(what, minlength=buckets)
-    in_toxic = np.bincount(what, labels[where], buckets)
-    rate = labels.mean()
-    odds = np.log((in_toxic + 8 * rate) / (in_all - in_toxic + 8 * (1 - rate))) - np.log(rate / (1 - rate))
-    # More toxic documents than chance would put there, by five standard deviations.
-    excess = (in_toxic - in_all * rate) / np.sqrt(np.maximum(in_all * rate * (1 - rate), 1e-9))
-    strong = (in_toxic >= min_docs) & (excess > 5)
-    weights[strong] = np.clip(2 * odds[strong], 0, 8)
-    keep = strong[words]
-    words, sentence = words[keep], sentence[keep]
-    used = np.flatnonzero(strong)
-    small = np.full(buckets, -1)
-    small[used] = np.arange(len(used))
-    words = small[words]
-    guess = weights[used]  # also what the weights are drawn towards: words that others outshine keep their first guess
-    w = guess.copy()
-    per_doc = np.bincount(doc, minlength=n)
-    if not len(used):
-        return weights, float(np.log(max(1e-9, -np.log1p(-rate) / max(1, np.median(per_doc)))))
-    speed = np.zeros(len(used) + 1)
-    square = np.zeros(len(used) + 1)
+def _document_features(buckets: int):
+    """For each document its label and distinct feature buckets, as (bucket, documents, toxic ones) summed over a batch."""
+
+    def run(batches):
+        for batch in batches:
+            labels = batch.column(2).to_numpy()
+            for lo, hi in tb.text_slices(batch.column(1)):
+                words, sentence, doc = _sentences(batch.column(1).slice(lo, hi - lo), buckets)
+                pairs = np.unique(doc[sentence] * buckets + words)
+                at, where = np.unique(pairs % buckets, return_inverse=True)
+                toxic = np.bincount(where, labels[lo:hi][pairs // buckets], len(at))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at, pa.int64()), pa.array(np.bincount(where, minlength=len(at)), pa.int64()), pa.array(toxic.astype(np.int64))], names=["bucket", "n", "n_toxic"]
+                )
+
+    return run
+
+
+def _strong_sentences(buckets: int, strong: np.ndarray):
+    """Rows (doc_id, toxic, n, features): a document's sentences that hold strong features, by their set of features; an empty set counts the others."""
+
+    def run(batches):
+        number = np.full(buckets, -1)
+        number[strong] = np.arange(len(strong))
+        for batch in batches:
+            ids, labels = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for lo, hi in tb.text_slices(batch.column(1)):
+                words, sentence, doc = _sentences(batch.column(1).slice(lo, hi - lo), buckets)
+                small = number[words]
+                pair = np.unique(sentence[small >= 0] * np.int64(buckets) + small[small >= 0])
+                at, what = pair // buckets, pair % buckets
+                total = np.bincount(doc, minlength=hi - lo)
+                sets: dict[tuple, int] = {}
+                cuts = np.flatnonzero(np.diff(at)) + 1
+                for s, features in zip(at[np.concatenate([[0], cuts])] if len(at) else (), np.split(what, cuts)):
+                    key = (int(doc[s]), *features.tolist())
+                    sets[key] = sets.get(key, 0) + 1
+                rest = total - np.bincount([d for d, *_ in sets], list(sets.values()), hi - lo).astype(np.int64)
+                rows = [(ids[lo + d], labels[lo + d], n, f) for (d, *f), n in sets.items()]
+                rows += [(ids[lo + d], labels[lo + d], int(rest[d]), []) for d in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())))], names=["doc_id", "toxic", "n", "features"]
+                )
+
+    return run
+
+
+def gradient_steps(labels: np.ndarray, doc: np.ndarray, count: np.ndarray, features: list, guess: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
+    """(weights, bias) by gradient steps with momentum on the documents' log-likelihood under the noisy-or.
+
+    Row i stands for count[i] sentences of document doc[i] whose features are features[i].
+    The weights are drawn towards ``guess``: words that others outshine keep it.
+    """
+    sentence = np.repeat(np.arange(len(doc)), [len(f) for f in features])
+    words = np.concatenate([np.asarray(f, np.int64) for f in features]) if len(features) else np.empty(0, np.int64)
+    w, bias = guess.copy(), -6.0
+    speed, square = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
-        p, log_none = _noisy_or(w, bias, words, sentence, doc, n)
-        none = np.exp(log_none)
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(sentence, w[words], len(doc)) + bias, -30, 30)))
+        none = np.exp(np.bincount(doc, count * np.log1p(-np.minimum(p, 1 - 1e-12)), len(labels)))
         # d loglik / d logit of a sentence: -p for a clean document, p * none / (1 - none) for a toxic one.
-        factor = np.where(labels > 0, none / np.maximum(1 - none, 1e-9), -1.0)
-        g = p * factor[doc]
-        grad = np.append(np.bincount(words, g[sentence], len(used)) - 0.02 * (w - guess), g.sum())
+        g = count * p * np.where(labels > 0, none / np.maximum(1 - none, 1e-9), -1.0)[doc]
+        grad = np.append(np.bincount(words, g[sentence], len(w)) - 0.02 * (w - guess), g.sum())
         speed = 0.9 * speed + 0.1 * grad
         square = 0.999 * square + 0.001 * grad**2
         move = 0.1 * (speed / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-6)
         w += move[:-1]
         bias += move[-1]
-    weights[:] = 0
-    weights[used] = w
-    return weights, float(bias)
+    return w, float(bias)
+
+
+def _fit_task(guess: np.ndarray, steps: int):
+    def run(batches):
+        rows = [b for b in batches]
+        ids, toxic, count, features = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in rows]) for i in range(4)) if rows else ((),) * 4
+        # The order of the rows doesn't show in the sums.
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], tuple(features[i])))
+        docs, doc = np.unique(np.asarray(ids, np.int64)[order], return_inverse=True)
+        labels = np.zeros(len(docs))
+        labels[doc] = np.asarray(toxic, float)[order]
+        w, bias = gradient_steps(labels, doc, np.asarray(count, float)[order], [features[i] for i in order], guess, steps)
+        yield pa.RecordBatch.from_arrays([pa.array([*range(len(w)), -1], pa.int64()), pa.array([*w, bias])], names=["number", "weight"])
+
+    return run
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, steps: int = 100, min_docs: int = 4) -> tuple[dict[int, float], float]:
     """(weight of each bucket that has one, bias), from at most ``sample`` labelled documents that aren't held out.
 
-    The sample is the rows with the smallest hashes of their ids, half of it for each
-    label at most twice as many clean ones as toxic; it is bounded, so one task fits it.
+    The sample is the rows with the smallest hashes of their ids, at most half of it
+    for each label. Tasks find the features in parallel; those that occur in toxic
+    documents far more often than chance would have it are kept (at most ``buckets``).
+    One task then gets the sentences with kept features, as their numbers, and fits.
     """
+    small_batches(docs.sparkSession)
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL")
-    marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
+    marked = materialize(marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out()), "marked")
     order = F.xxhash64("doc_id")
     chosen = None
     for label in (0, 1):
         part = marked.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(sample // 2)
         chosen = part if chosen is None else chosen.unionByName(part)
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    both = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").coalesce(1)
+    # At most ``sample`` ids: their table may be broadcast.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    both = materialize(texts.join(F.broadcast(materialize(chosen, "chosen")), "doc_id"), "sample").select("doc_id", "text", "toxic")
+    n, n_toxic = both.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not n_toxic or n_toxic == n:
+        return {}, (30.0 if n_toxic else -30.0)
+    rate = n_toxic / n
+    # More toxic documents than chance would put there, by five standard deviations.
+    excess = (F.col("n_toxic") - F.col("n") * rate) / F.sqrt(F.greatest(F.col("n") * (rate * (1 - rate)), F.lit(1e-9)))
+    counts = both.mapInArrow(_document_features(buckets), "bucket long, n long, n_toxic long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
+    kept = counts.where((F.col("n_toxic") >= min_docs) & (excess > 5)).orderBy("bucket").toPandas()
+    strong, in_all, in_toxic = (kept[c].to_numpy(np.int64) for c in ("bucket", "n", "n_toxic"))
+    # Log-odds of a document with the feature are the first guess.
+    odds = np.log((in_toxic + 8 * rate) / (in_all - in_toxic + 8 * (1 - rate))) - np.log(rate / (1 - rate))
+    guess = np.clip(2 * odds, 0, 8)
+    rows = both.mapInArrow(_strong_sentences(buckets, strong), "doc_id long, toxic int, n long, features array<int>")
+    rows = rows.groupBy("doc_id", "features").agg(F.max("toxic").alias("toxic"), F.sum("n").alias("n")).where("n > 0").select("doc_id", "toxic", "n", "features")
+    found = {r["number"]: r["weight"] for r in rows.repartition(1).mapInArrow(_fit_task(guess, steps), "number long, weight double").collect()}
+    bias = found.pop(-1, -30.0)
+    model = {int(strong[i]): w for i, w in found.items() if w}
+    discard(marked)
     share = (sizes.get(1, 0), sizes.get(0, 0), min(sizes.get(1, 0), sample // 2), min(sizes.get(0, 0), sample // 2))
-
-    def fit(batches):
-        texts, toxic, ids = [], [], []
-        for batch in batches:
-            ids += batch.column(0).to_pylist()
-            texts += batch.column(1).to_pylist()
-            toxic += batch.column(2).to_pylist()
-        order = np.argsort(np.array(ids, np.int64), kind="stable")
-        weights, bias = _fit(pa.array([texts[i] for i in order], pa.string()), np.array([toxic[i] for i in order], float), buckets, steps, min_docs)
-        at = np.flatnonzero(weights)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(weights[at], bias))], names=["bucket", "weight"])
-
-    rows = both.mapInArrow(fit, "bucket long, weight double").collect()
-    model = {r["bucket"]: r["weight"] for r in rows}
-    bias = model.pop(-1, -30.0)
     if all(share):
         # The bias was learned at the sample's rate of toxic documents; shift it to the labels' rate.
         bias += float(np.log(share[0] / share[1]) - np.log(share[2] / share[3]))
@@ -186,6 +222,7 @@ def score_toxicity(docs: DataFrame, model: dict[int, float], bias: float, bucket
                 )
 
     schema = "doc_id long, score double, n_sentences long, worst_sentence long, worst_score double"
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(score, schema)
 
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from scriptorium.llm import decontaminate as decon
 from scriptorium.llm.bpe_codec import TextDecoder, Transducer, WordCodec, bpe_codec
 from scriptorium.llm.chat_format import format_chats
 from scriptorium.llm.decontaminate import decontaminate
@@ -21,7 +23,7 @@ from scriptorium.llm.lm_score import lm_score
 from scriptorium.llm.minhash_dedup import minhash_dedup
 from scriptorium.llm.substring_dedup import compact_windows, substring_dedup
 from scriptorium.llm.token_counts import PrefixCounter, longest_prefix_within, token_counts
-from scriptorium.llm.toxicity import toxicity
+from scriptorium.llm.toxicity import fit_toxicity, toxicity
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -219,20 +221,29 @@ def brute_contamination(docs, items, window=10):
     return out
 
 
-def test_decontamination(spark, edges, empty):
+@pytest.mark.parametrize("most", [decon.BROADCAST_BYTES, -1])
+def test_decontamination(spark, edges, empty, monkeypatch, most):
+    """Also with an index that is too large for a broadcast; rows of one doc_id, or of none, count together."""
+    monkeypatch.setattr(decon, "BROADCAST_BYTES", most)
     p = passage(1, 80)
-    items = [(1, " ".join(p.split()[10:30])), (2, "one"), (3, None), (4, "!!"), (5, " ".join(p.split()[10:30]).upper()), (11, "x" * 30000), (12, "zz"), (20, "ÉTÉ one"), (21, "345 12")]
-    data = [r[:2] for r in EDGES if r[0] not in (None, 11)] + [(30, "été One, ÉTÉ one; 345, 12"), (31, p[:100] + "." + p[100:]), (32, "K one")]
+    items = [(1, " ".join(p.split()[10:30])), (2, "one"), (3, None), (4, "!!"), (5, " ".join(p.split()[10:30]).upper()), (11, "x" * 30000), (12, "zz"), (20, "ÉTÉ one"), (21, "345 12"), (22, "ΑΣ Β one two"), (23, "a b a b")]
+    data = [r[:2] for r in EDGES] + [
+        (30, "été One, ÉTÉ one; 345, 12"), (31, p[:100] + "." + p[100:]), (32, "K one"), (33, "ΑΣ'Β one two"), (34, "ΑΣ.Β one two"), (35, "ΑΣ Β one two"), (36, "a b a b a b"), (36, "zz"), (None, "ΑΣ.Β ONE Two"), (None, None),
+    ]
     df = spark.createDataFrame(data, "doc_id long, text string").withColumns({c: F.lit(1) for c in CLASH})
     table = spark.createDataFrame(items, "item_id long, text string").withColumn("n_words", F.lit(1))
-    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate(df, table).collect()}
-    assert got == brute_contamination(data, items)
+    got = {r.doc_id: r for r in decontaminate(df, table).collect()}
+    once = [k for k, n in collections.Counter(k for k, _ in data).items() if n == 1]
+    want = brute_contamination([r for r in data if r[0] in once], items)
+    assert {k: tuple(got[k])[1:] for k in once} == want and len(got) == len({k for k, _ in data})
+    for k in {None, 11, 36}:
+        rows = [brute_contamination([r], items)[k] for r in data if r[0] == k]
+        assert got[k].n_words == max(r[0] for r in rows) and got[k].contaminated == any(r[4] for r in rows) and got[k].n_hit >= max(r[1] for r in rows)
+    assert [got[k].n_hit for k in (33, 34, 35)] == [4, 4, 4]
     assert decontaminate(empty, table).count() == 0 and not any(r.contaminated for r in decontaminate(df, table.limit(0)).collect())
 
 
 def test_lm(docs, edges, empty):
-    import math
-
     for df in (docs, edges.where("doc_id IS NOT NULL AND doc_id <> 11")):
         texts = {r.doc_id: [*words(r.text), None] for r in df.collect()}
         counts = collections.Counter()
@@ -340,6 +351,43 @@ def test_substring_twice_in_smallest(spark):
     assert all(sorted(spans[10 * g]) == [(30, 90), (120, 180)] and spans[10 * g + 1] == [(30, 90)] for g in range(12)), spans
 
 
+def sentence_score(sentence, model, bias):
+    """Logistic model of a sentence's words and word beginnings, one by one."""
+    import pyarrow as pa
+
+    from scriptorium.llm import toxicity as tx
+
+    buckets = set()
+    for word in re.findall("[0-9A-Za-z\x80-\U0010ffff]+", sentence):
+        buckets |= set(tx._sentences(pa.array([word]), tx.BUCKETS)[0].tolist())
+    return 1 / (1 + math.exp(-(sum(model.get(b, 0.0) for b in buckets) + bias)))
+
+
+def test_toxicity_scores():
+    """Gradient steps and scores against the formulas, sentence by sentence in plain Python."""
+    import numpy as np
+
+    from scriptorium.llm.toxicity import gradient_steps
+
+    labels, doc, count = np.array([1.0, 0.0, 1.0]), np.array([0, 0, 1, 1, 2]), np.array([1.0, 3.0, 2.0, 1.0, 4.0])
+    features, guess = [[0], [], [1], [], [0, 1]], np.array([2.0, 0.5])
+
+    def likelihood(w):
+        none = [1.0] * 3
+        for d, n, f in zip(doc, count, features):
+            none[d] *= (1 - 1 / (1 + math.exp(-(sum(w[i] for i in f) + w[2])))) ** n
+        return sum(math.log(1 - x if t else x) for x, t in zip(none, labels)) - 0.01 * sum((a - b) ** 2 for a, b in zip(w, guess))
+
+    w, bias = gradient_steps(labels, doc, count, features, guess, 400)
+    now = [*w, bias]
+    assert likelihood(now) > likelihood([2.0, 0.5, -6.0])
+    for i in range(3):
+        for move in (-0.05, 0.05):
+            other = list(now)
+            other[i] += move
+            assert likelihood(other) < likelihood(now) + 1e-3
+
+
 def test_toxicity(spark, edges, empty):
     r = random.Random(2)
     bad = ["scum", "idiot"]
@@ -354,11 +402,16 @@ def test_toxicity(spark, edges, empty):
         labels.append((k, 1, int(toxic)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in CLASH})
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("text", F.lit("x"))
-    got = by_id(toxicity(docs, marks))
+    got = got_docs = by_id(toxicity(docs, marks))
     wrong = [k for k, _, t in labels if got[k].predicted != t]
     assert len(wrong) <= 8 and all(got[k].held_out == (zlib.crc32(str(k).encode()) % 4 == 2) for k in got)
     for k, t in rows[:30:3]:
         assert any(b in t.split(".")[got[k].worst_sentence] for b in bad)
     got = toxicity(edges, marks).collect()
     assert len(got) == len(EDGES) and all(0 <= r.score <= 1 for r in got) and all(r.predicted == (r.score >= 0.3) for r in got)
+    several = spark.createDataFrame([(1, 0), (1, 1), (2, None), (None, 1), (3, 7)], "doc_id long, toxic int")
+    assert all(0 <= r.score <= 1 for r in toxicity(edges, several).collect()) and len(toxicity(edges, several).collect()) == len(EDGES)
+    model, bias = fit_toxicity(docs, marks)
+    plain = {k: 1 - math.prod(1 - sentence_score(t, model, bias) for t in re.split("[.!?\n]", text) if re.search("[0-9A-Za-z\x80-\U0010ffff]", t)) for k, text in rows[:60]}
+    assert all(abs(plain[k] - got_docs[k].score) < 1e-9 for k in plain)
     assert toxicity(empty, marks).count() == 0 and max(r.score for r in toxicity(edges, marks.limit(0)).collect()) < 1e-6
