@@ -49,10 +49,9 @@ def exact_dedup(docs: DataFrame, prefix: int = 256, hash_all: bool = False) -> D
         "doc_id", F.when(F.col("survives") | F.lit(hash_all), F.sha2("norm", 256)).alias("text_sha256"), "survives"
     )
     hashed = materialize(hashed, "hashes")
-    groups = (
-        hashed.where("survives").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    )
-    # The hash of a group may be hot: the join is of two exchanges, which adaptive execution splits.
+    groups = hashed.where("survives").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    # The hash of a group may be hot. As a table, groups have an exchange of their own, without which adaptive execution can't split the join.
+    groups = materialize(groups, "groups")
     joined = hashed.join(groups, "text_sha256", "left")
     return joined.select(
         "doc_id",

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .bitmap import build_bitmap, keep_listed
 from .components import connected_components
-from .workdir import discard, materialize
+from .workdir import discard, materialize, small_batches
 
 SIGNATURE = "doc_id long, n_shingles long, digest string, parts array<long>"
 
@@ -67,52 +67,52 @@ def _signer(shingle: int, rows: int, collections: int):
     return sign
 
 
-def _verifier(shingle: int, percent: int):
-    def verify(batches):
+def _set_maker(shingle: int):
+    def make(batches):
         word = tb.whitespace_words()
         for batch in batches:
-            a, b, left, right = batch.columns
-            for lo, hi in tb.text_slices(left, tb.PIECE):
-                sl, sr = (tb.shingle_sets(x.slice(lo, hi - lo), shingle, word) for x in (left, right))
-                keep = []
-                for x, y in zip(sl, sr):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both) > 0)
+            ids, texts = batch.columns
+            for lo, hi in tb.text_slices(texts):
+                sets = tb.shingle_sets(texts.slice(lo, hi - lo), shingle, word)
+                bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [c.slice(lo, hi - lo).filter(pa.array(keep, pa.bool_())) for c in (a, b)], names=["a", "b"]
+                    [ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int64()))], names=["doc_id", "grams"]
                 )
 
-    return verify
+    return make
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. Only texts of listed documents are shuffled."""
-    listed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def full_sets(docs: DataFrame, listed: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, grams): the sorted distinct shingle hashes of listed documents (and a few others), made once a document."""
     texts = keep_listed(docs.select("doc_id", "text"), build_bitmap(listed, ["doc_id"]), [F.col("doc_id")])
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    with_ab = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_ab.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(shingle, percent), "a long, b long")
+    return materialize(texts.mapInArrow(_set_maker(shingle), "doc_id long, grams array<long>"), "sets")
+
 
+def confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
+    with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
+    both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").withColumn("n", F.size(F.array_intersect("ga", "gb")))
+    return both.where((F.col("n") > 0) & (100 * F.col("n") >= percent * (F.size("ga") + F.size("gb") - F.col("n")))).select("a", "b")
 
-def _block_comparer(shingle: int, percent: int):
+
+def _block_comparer(percent: int):
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         outer = table.column("outer").to_numpy(zero_copy_only=False)
         ids, comps = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
-        sets: list[np.ndarray] = []
-        texts = table.column("text").combine_chunks()
-        for lo, hi in tb.text_slices(texts, tb.PIECE):
-            sets += tb.shingle_sets(texts.slice(lo, hi - lo), shingle, tb.whitespace_words())
+        grams = table.column("grams").combine_chunks()
+        bounds, flat_all = np.asarray(grams.offsets), np.asarray(grams.values)
         inner, outside = np.flatnonzero(~outer), np.flatnonzero(outer)
         links: list[tuple[int, int]] = []
         if len(inner) and len(outside):
-            sizes = np.array([len(sets[i]) for i in inner])
-            flat = np.concatenate([sets[i] for i in inner])
+            sizes = (bounds[1:] - bounds[:-1])[inner].astype(np.int64)
+            flat = np.concatenate([flat_all[bounds[i] : bounds[i + 1]] for i in inner])
             owner = np.repeat(np.arange(len(inner)), sizes)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
             for x in outside:
-                mine = sets[x]
+                mine = flat_all[bounds[x] : bounds[x + 1]]
                 lo, hi = np.searchsorted(flat, mine), np.searchsorted(flat, mine, "right")
                 n = hi - lo
                 at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
@@ -125,28 +125,32 @@ def _block_comparer(shingle: int, percent: int):
     return compare
 
 
-def compare_groups(docs: DataFrame, members: DataFrame, shingle: int, percent: int, block: int) -> DataFrame:
+def compare_groups(sets: DataFrame, members: DataFrame, percent: int, block: int) -> DataFrame:
     """Links (a, b) between members(pivot, doc_id, component, pivot_component, n_shingles) of a group in different components.
 
     Only members outside their pivot's component can have links that aren't known
-    yet. They meet the group's other members in blocks of about ``block`` shingles.
+    yet. They are dealt to rows and the group's members to columns of a grid whose
+    cells hold about ``block`` shingles of each, so a group with few such members
+    is sent to one row of cells: its work is linear in its members.
     """
+    outside = F.col("component") != F.col("pivot_component")
     groups = members.groupBy("pivot").agg(
-        F.count("*").alias("n"), F.count_if(F.col("component") != F.col("pivot_component")).alias("outside"),
-        F.ceil(F.sum("n_shingles") / block).cast("int").alias("blocks"),
-    ).where("n > 1 AND outside > 0").select("pivot", "blocks")
-    split = members.join(groups, "pivot").withColumn("mine", F.pmod(F.hash("doc_id"), F.col("blocks")))
-    every = F.explode(F.expr("sequence(0, blocks - 1)"))
-    rows = split.where("component <> pivot_component").select("pivot", "doc_id", "component", F.lit(True).alias("outer"), F.col("mine").alias("i"), every.alias("j"))
-    rows = rows.unionByName(split.select("pivot", "doc_id", "component", F.lit(False).alias("outer"), F.col("mine").alias("j"), every.alias("i")))
-    listed = split.select("doc_id").distinct()
-    texts = keep_listed(docs, build_bitmap(listed, ["doc_id"]), [F.col("doc_id")])
-    cells = rows.join(texts, "doc_id").select("pivot", "i", "j", "doc_id", "component", "outer", "text")
-    return cells.groupBy("pivot", "i", "j").applyInArrow(_block_comparer(shingle, percent), "a long, b long")
+        F.count("*").alias("n"), F.count_if(outside).alias("open"), F.ceil(F.sum("n_shingles") / block).cast("int").alias("wide"),
+        F.ceil(F.sum(F.when(outside, F.col("n_shingles"))) / block).cast("int").alias("tall"),
+    )
+    groups = materialize(groups.where("n > 1 AND open > 0").select("pivot", "wide", "tall"), "grids")
+    split = members.join(groups, "pivot")
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.col(size) - 1))
+    rows = split.where(outside).select("pivot", "doc_id", "component", F.lit(True).alias("outer"), F.pmod(F.hash("doc_id"), "tall").alias("i"), every("wide").alias("j"))
+    rows = rows.unionByName(split.select("pivot", "doc_id", "component", F.lit(False).alias("outer"), F.pmod(F.hash("doc_id"), "wide").alias("j"), every("tall").alias("i")))
+    cells = rows.join(sets, "doc_id").select("pivot", "i", "j", "doc_id", "component", "outer", "grams")
+    found = materialize(cells.groupBy("pivot", "i", "j").applyInArrow(_block_comparer(percent), "a long, b long"), "links")
+    discard(groups)
+    return found
 
 
 def minhash_dedup(
-    docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 3, collections: int = 16, block: int = 400_000
+    docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 3, collections: int = 16, block: int = 64_000
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text, ...).
 
@@ -161,6 +165,7 @@ def minhash_dedup(
     belong to one component, since they carry one identity. Other columns are
     ignored. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(docs.mapInArrow(_signer(shingle, rows, collections), SIGNATURE), "signatures")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -170,6 +175,7 @@ def minhash_dedup(
         full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min_by("parts", "doc_id").alias("parts"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies")),
         "classes",
     )
+    # As tables, what is joined has an exchange of its own: adaptive execution can split the rows of a hot key.
     several = classes.where("copies > 1").select("digest", F.col("doc_id").alias("b"))
     copies = full.select(F.col("doc_id").alias("a"), "digest").join(several, "digest").where("a <> b").select("a", "b").distinct()
     links = materialize(copies, "copies")
@@ -178,6 +184,7 @@ def minhash_dedup(
     # Collections that some other class shares; only pairs of those can make a shared table key.
     exploded = leaders.select("doc_id", F.posexplode("parts").alias("slot", "part"))
     shared = exploded.groupBy("slot", "part").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(shared, "shared")
     buckets = materialize(
         exploded.join(shared, ["slot", "part"])
         .groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("slot", "part"))).alias("p"), F.sum("n").alias("weight"))
@@ -191,11 +198,12 @@ def minhash_dedup(
     tops = buckets.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("top"), F.count("*").alias("n")).where("n > 1")
     pivots = materialize(tops.select("key", (-F.col("top.minus")).alias("pivot")), "pivots")
     groups = materialize(buckets.join(pivots, "key").where("doc_id <> pivot").select("pivot", "doc_id").distinct(), "groups")
-    used = [classes, buckets, pivots, groups, links]
+    used = [classes, shared, buckets, pivots, groups, links]
     components = None
     if not groups.isEmpty():
         pairs = groups.select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct()
-        found = materialize(confirm(docs, pairs, shingle, percent), "links")
+        sets = full_sets(docs, groups.select("doc_id").union(groups.select("pivot")).distinct(), shingle)
+        found = materialize(confirm(sets, pairs, percent), "links")
         links = links.unionByName(found)
         first = materialize(connected_components(links, "a", "b"), "components")
         known = first.select(F.col("node").alias("doc_id"), "component")
@@ -206,8 +214,8 @@ def minhash_dedup(
             .select("pivot", "doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("pivot_component", "pivot").alias("pivot_component"), "n_shingles")
         )
         members = materialize(members, "members")
-        more = materialize(compare_groups(docs, members, shingle, percent, block), "links")
-        used += [found, first, members, more]
+        more = compare_groups(sets, members, percent, block)
+        used += [found, first, members, more, sets]
         if not more.isEmpty():
             links = links.unionByName(more)
         else:
