@@ -21,11 +21,14 @@ def _slot(keys: list[Column], bits: int) -> Column:
 def build_bitmap(keys: DataFrame, columns: list[str], bits: int = BITS) -> DataFrame:
     """Pages (page int, words array<bigint>) with one bit for each slot in use; at most 2**bits / 8 bytes in all."""
     slot = keys.select(_slot([F.col(c) for c in columns], bits).alias("slot"))
-    words = slot.selectExpr("shiftright(slot, 6) AS word", "shiftleft(1L, cast(slot % 64 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    words = slot.selectExpr("shiftright(slot, 6) AS word", "shiftleft(1L, cast(slot % 64 AS int)) AS bit")
+    # A zero for each word, so that a page's words are all there and need only be put in order.
+    zeros = keys.sparkSession.range(1 << bits - 6).selectExpr("id AS word", "0L AS bit")
+    used = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).unionByName(zeros).groupBy("word").agg(F.bit_or("bit").alias("bit"))
     return (
-        words.groupBy(F.shiftright("word", _PAGE - 6).cast("int").alias("page"))
-        .agg(F.map_from_entries(F.collect_list(F.struct((F.col("word") % (1 << _PAGE - 6)).cast("int"), "bits"))).alias("m"))
-        .select("page", F.expr(f"transform(sequence(0, {(1 << _PAGE - 6) - 1}), i -> coalesce(try_element_at(m, i), 0L))").alias("words"))
+        used.groupBy(F.shiftright("word", _PAGE - 6).cast("int").alias("page"))
+        .agg(F.sort_array(F.collect_list(F.struct("word", "bit"))).alias("w"))
+        .select("page", F.col("w.bit").alias("words"))
     )
 
 

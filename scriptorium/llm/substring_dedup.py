@@ -27,6 +27,8 @@ _PLACE_BITS = 24
 _PLACES = (1 << _PLACE_BITS) - 1
 _TURN = 0x9E3779 | 1
 _BLOCK = 2048
+#: Documents of one side of a cell in which pairs are verified.
+_CELL = 128
 
 
 def compact_windows(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,84 +164,118 @@ def _longest(match: np.ndarray, percent: int) -> tuple[int, int]:
     return a, b
 
 
-def _passages(x: np.ndarray, y: np.ndarray, shift: int, least: int, percent: int):
-    """(from, to) in shingles of x of the similar passages along one diagonal (place in x less place in y)."""
-    lo, hi = max(0, shift), min(len(x), len(y) + shift)
-    if hi - lo < least:
-        return
-    match = x[lo:hi] == y[lo - shift : hi - shift]
-    todo = [(0, hi - lo)]
+def _ranges(match: np.ndarray, least: int, percent: int):
+    """Ranges of at least ``least`` places, the longest of each stretch first, in which few enough places differ."""
+    todo = [(0, len(match))]
     while todo:
         s, e = todo.pop()
-        if e - s < least or not match[s:e].any():
+        if e - s < least or 100 * np.count_nonzero(match[s:e]) < percent * least:
             continue
         a, b = _longest(match[s:e], percent)
         a, b = a + s, b + s
         if b - a < least:
             continue
-        left, right = np.unique(x[lo + a : lo + b]), np.unique(y[lo + a - shift : lo + b - shift])
-        both = len(np.intersect1d(left, right, assume_unique=True))
-        if 100 * both >= percent * (len(left) + len(right) - both):
-            yield lo + a, lo + b
+        yield a, b
         todo += [(s, a), (b, e)]
 
 
-def _shifted(x: np.ndarray, y: np.ndarray, shift: int, least: int, percent: int):
-    """(from, to, from in y, to in y) of the similar passages near one diagonal: words may be put in or left out inside them."""
+class _Text:
+    """A document's shingles as numbers, and its places in the order of (number, place)."""
+
+    def __init__(self, number: np.ndarray):
+        self.number = number
+        self.keys = np.sort((number << 32) | np.arange(len(number)))
+
+
+def _nearest(x: _Text, y: _Text, low: int, high: int) -> np.ndarray:
+    """For each place of x the diagonal (place in x less place in y) in low..high, nearest to their middle, on which y has its shingle; beyond high if none."""
+    middle, none = (low + high) // 2, high + 1
+    place = np.arange(len(x.number))
+    first = np.searchsorted(y.keys, (x.number << 32) + np.maximum(place - middle, 0))
+    out = np.full(len(place), none)
+    for at in (first - 1, first):
+        key = y.keys[np.clip(at, 0, max(0, len(y.keys) - 1))] if len(y.keys) else np.full(len(place), -1)
+        diagonal = place - (key & 0xFFFFFFFF)
+        good = (at >= 0) & (at < len(y.keys)) & (key >> 32 == x.number) & (diagonal >= low) & (diagonal <= high)
+        good &= (out == none) | (np.abs(diagonal - middle) < np.abs(out - middle))
+        out[good] = diagonal[good]
+    return out
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    x, y = np.unique(x), np.unique(y)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _banded(x: _Text, y: _Text, low: int, high: int, least: int, percent: int):
+    """(from, to, from in y, to in y) of the similar passages on diagonals low..high: words may be put in or left out inside them."""
+    near = _nearest(x, y, low, high)
+    for a, b in _ranges(near <= high, least, percent):
+        c, d = a - int(near[a]), b - int(near[b - 1])
+        if d - c >= least and _similar(x.number[a:b], y.number[c:d], percent):
+            yield a, b, c, d
+
+
+def passages(x: _Text, y: _Text, shifts: list[int], least: int, percent: int):
+    """(from, to, from in y, to in y), in shingles, of the similar passages of two texts near the diagonals ``shifts``."""
     # So many words may be missing from one of two similar passages whose parts are too short by themselves.
     band = 2 * least * (100 - percent) // max(1, percent)
-    lo, hi = max(0, shift - band), min(len(x), len(y) + shift + band)
-    if hi - lo < least:
-        return
-    # near[i] is the offset of the diagonal closest to this one on which place lo + i matches.
-    near = np.full(hi - lo, band + 1)
-    for off in sorted(range(-band, band + 1), key=lambda o: (-abs(o), o)):
-        a, b = max(lo, shift + off), min(hi, len(y) + shift + off)
-        if a < b:
-            near[a - lo : b - lo][x[a:b] == y[a - shift - off : b - shift - off]] = off
-    match = near <= band
-    todo = [(0, hi - lo)]
-    while todo:
-        s, e = todo.pop()
-        if e - s < least or np.count_nonzero(match[s:e]) < least // 2:
-            continue
-        a, b = _longest(match[s:e], percent)
-        a, b = a + s, b + s
-        if b - a < least:
-            continue
-        c, d = lo + a - shift - int(near[a]), lo + b - shift - int(near[b - 1])
-        if d - c >= least:
-            left, right = np.unique(x[lo + a : lo + b]), np.unique(y[c:d])
-            both = len(np.intersect1d(left, right, assume_unique=True))
-            if 100 * both >= percent * (len(left) + len(right) - both):
-                yield lo + a, lo + b, c, d
-        todo += [(s, a), (b, e)]
+    shifts = sorted(shifts)
+    cuts = [0, *[i for i in range(1, len(shifts)) if shifts[i] - shifts[i - 1] > band], len(shifts)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        low, high = shifts[lo] - band, shifts[hi - 1] + band
+        found = list(_banded(x, y, low, high, least, percent))
+        # What is too long by one side's count of edits may not be by the other's.
+        found += [(s, e, c, d) for c, d, s, e in _banded(y, x, -high, -low, least, percent)]
+        if not found:
+            for shift in shifts[lo:hi]:
+                a, b = max(0, shift), min(len(x.number), len(y.number) + shift)
+                if b - a >= least:
+                    for s, e in _ranges(x.number[a:b] == y.number[a - shift : b - shift], least, percent):
+                        s, e = s + a, e + a
+                        if _similar(x.number[s:e], y.number[s - shift : e - shift], percent):
+                            found.append((s, e, s - shift, e - shift))
+        yield from found
+
+
+def _joined(spans: list[tuple[int, int, int]]):
+    """Overlapping (start, end, partner) as one, with the smallest partner."""
+    now = None
+    for s, e, q in sorted(spans):
+        if now and s < now[1]:
+            now = [now[0], max(now[1], e), min(now[2], q)]
+        else:
+            if now:
+                yield now
+            now = [s, e, q]
+    if now:
+        yield now
 
 
 def _verify(size: int, least: int, percent: int):
-    def run(batches):
+    def run(texts: pa.Table, pairs: pa.Table) -> pa.Table:
         word = tb.whitespace_words()
-        for batch in batches:
-            a, b, shifts, text_a, text_b = batch.columns
-            for lo, hi in tb.text_slices(text_a, tb.PIECE):
-                out = []
-                parts = []
-                for t in (text_a, text_b):
-                    hashes, counts = tb.word_hashes(t.slice(lo, hi - lo), word)
-                    e = np.cumsum(counts)
-                    parts.append([tb.shingles(hashes[j - n : j], size) for j, n in zip(e.tolist(), counts.tolist())])
-                for x, y, p, q, diagonals in zip(*parts, a.slice(lo, hi - lo).to_pylist(), b.slice(lo, hi - lo).to_pylist(), shifts.slice(lo, hi - lo).to_pylist()):
-                    for shift in sorted(diagonals):
-                        for s, e in _passages(x, y, shift, least, percent):
-                            out.append((p, s, e + size - 1, q))
-                            out.append((q, s - shift, e - shift + size - 1, p))
-                        # What is too long by one side's count of edits may not be by the other's.
-                        sides = [_shifted(x, y, shift, least, percent), ((s, e, c, d) for c, d, s, e in _shifted(y, x, -shift, least, percent))]
-                        for s, e, c, d in itertools.chain(*sides):
-                            out.append((p, s, e + size - 1, q))
-                            out.append((q, c, d + size - 1, p))
-                columns = list(zip(*out)) if out else [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start_word", "end_word", "partner_id"])
+        column = texts.column("text").combine_chunks()
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        grams = []
+        for lo, hi in tb.text_slices(column):
+            hashes, counts = tb.word_hashes(column.slice(lo, hi - lo), word)
+            e = np.cumsum(counts)
+            grams += [tb.shingles(hashes[j - n : j], size) if n >= size else np.empty(0, np.uint64) for j, n in zip(e.tolist(), counts.tolist())]
+        number = np.unique(np.concatenate(grams), return_inverse=True)[1].astype(np.int64) if grams else np.empty(0, np.int64)
+        ends = np.cumsum([len(g) for g in grams])
+        rows: dict[int, list[_Text]] = {}
+        for k, e, g in zip(texts.column("doc_id").to_pylist(), ends, grams):
+            rows.setdefault(k, []).append(_Text(number[e - len(g) : e]))
+        spans: dict[int, list[tuple[int, int, int]]] = {}
+        for a, b, shifts in zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "shifts"))):
+            for x, y in itertools.product(rows.get(a, ()), rows.get(b, ())):
+                for s, e, c, d in passages(x, y, shifts, least, percent):
+                    spans.setdefault(a, []).append((s, e + size - 1, b))
+                    spans.setdefault(b, []).append((c, d + size - 1, a))
+        out = [(k, *x) for k, v in spans.items() for x in _joined(v)]
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "start_word", "end_word", "partner_id"), zip(*out) if out else ((),) * 4)})
 
     return run
 
@@ -251,21 +287,33 @@ def _meets(least: int):
 
 
 def _verified(docs: DataFrame, shared: DataFrame, size: int, least: int, percent: int) -> DataFrame:
-    """(doc_id, start_word, end_word, partner_id) of the passages around the places that shared(doc_id, c, doc_id2, c2) names."""
+    """(doc_id, start_word, end_word, partner_id) of the passages around the places that shared(doc_id, c, doc_id2, c2, top) names.
+
+    Pairs that met under one document's keys lie together, split into a grid of
+    bounded cells, so a text is sent to a cell once and not once a pair.
+    """
     shift = F.when(F.col("doc_id") > F.col("doc_id2"), F.col("c") - F.col("c2")).otherwise(F.col("c2") - F.col("c"))
-    pairs = shared.select(F.greatest("doc_id", "doc_id2").alias("a"), F.least("doc_id", "doc_id2").alias("b"), shift.alias("shift")).distinct()
-    pairs = materialize(pairs.groupBy("a", "b").agg(F.collect_list("shift").alias("shifts")), "pairs")
-    listed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = keep_listed(docs, build_bitmap(listed, ["doc_id"]), [F.col("doc_id")])
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    with_ab = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_ab.select("a", "b", "shifts", "text_a", "text_b").mapInArrow(
+    pairs = shared.select(F.greatest("doc_id", "doc_id2").alias("a"), F.least("doc_id", "doc_id2").alias("b"), shift.alias("shift"), "top")
+    pairs = materialize(pairs.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts"), F.min("top").alias("top")), "pairs")
+    sides = [pairs.select("top", side).distinct().groupBy("top").agg(F.ceil(F.count("*") / _CELL).cast("int").alias(f"n_{side}")) for side in "ab"]
+    grid = materialize(sides[0].join(sides[1], "top"), "grid")
+    dealt = materialize(
+        pairs.join(grid, "top").select("top", F.pmod(F.hash("a"), "n_a").alias("i"), F.pmod(F.hash("b"), "n_b").alias("j"), "a", "b", "shifts"), "dealt"
+    )
+    cell = ("cell_top", "cell_i", "cell_j")
+    wanted = dealt.select(*[F.col(c.split("_")[1]).alias(c) for c in cell], F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = keep_listed(docs, build_bitmap(wanted.select("doc_id").distinct(), ["doc_id"]), [F.col("doc_id")])
+    sent = wanted.join(texts, "doc_id").select(*cell, "doc_id", "text")
+    found = sent.groupBy(*cell).cogroup(dealt.groupBy("top", "i", "j")).applyInArrow(
         _verify(size, least, percent), "doc_id long, start_word long, end_word long, partner_id long"
     )
+    found = materialize(found, "found")
+    discard(pairs, grid, dealt)
+    return found
 
 
-def _unexplained(rows: DataFrame, tops: DataFrame, found: DataFrame, size: int, least: int, percent: int) -> DataFrame:
-    """Pairs of windows to be verified where the comparison with the key's smallest document found no passage.
+def _unexplained(rows: DataFrame, tops: DataFrame, found: DataFrame, size: int, least: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of windows (and the tables that they read) to be verified where the comparison with the key's smallest document found no passage.
 
     Such a window meets all other members of its key that have the smallest hash of
     a range beside c in common, in blocks of bounded size; members that are equal
@@ -276,32 +324,33 @@ def _unexplained(rows: DataFrame, tops: DataFrame, found: DataFrame, size: int,
     spans = _merged(found.groupBy("doc_id", "start_word").agg(F.max("end_word").alias("end_word"), F.min("partner_id").alias("partner_id")))
     spans = spans.select("doc_id", "start_word", "end_word", part).groupBy("doc_id", "part").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     inside = F.coalesce(F.exists("spans", lambda s: (s["start_word"] <= F.col("c")) & (F.col("c") <= s["end_word"] - size)), F.lit(False))
-    shared = rows.join(tops.select("key"), "key").withColumn("part", F.floor(F.col("c") / 64)).join(spans, ["doc_id", "part"], "left")
-    names = ["key", "doc_id", "l", "c", "r", "around"]
+    rows = rows.join(tops.select("key", F.col("top.doc_id").alias("top")), "key")
+    shared = rows.withColumn("part", F.floor(F.col("c") / 64)).join(spans, ["doc_id", "part"], "left")
+    names = ["key", "top", "doc_id", "l", "c", "r", "around"]
     unmet = materialize(shared.where(~inside).select(*names), "unmet")
     # A window without a passage is in both parts of the union; the flag's largest value holds.
     members = keep_listed(rows.select(*names), build_bitmap(unmet.select("key").distinct(), ["key"]), [F.col("key")])
     members = members.withColumn("open", F.lit(False)).unionByName(unmet.withColumn("open", F.lit(True)))
     # Equal surroundings of one key are one member: the smallest document's; a second document's is kept to meet it.
     ranges = F.explode(F.array(*[F.when(slot != 0, F.xxhash64("key", F.lit(i), slot)) for i in range(4) for slot in [F.expr(f"shiftright(around, {16 * i}) & 65535")]]))
-    keyed = members.select("doc_id", "l", "c", "r", "around", "open", ranges.alias("near")).where("near IS NOT NULL")
+    keyed = members.select("top", "doc_id", "l", "c", "r", "around", "open", ranges.alias("near")).where("near IS NOT NULL")
     one = F.struct("doc_id", "c", "l", "r")
-    same = keyed.groupBy("near", "around").agg(F.min(one).alias("x"), F.max(one).alias("y"), F.max("open").alias("open"))
+    same = keyed.groupBy("near", "around").agg(F.min(one).alias("x"), F.max(one).alias("y"), F.max("open").alias("open"), F.min("top").alias("top"))
     each = F.explode(F.when(F.col("x.doc_id") < F.col("y.doc_id"), F.array("x", "y")).otherwise(F.array("x"))).alias("m")
     sizes = same.groupBy("near").agg(F.min("x.doc_id").alias("low"), F.max("y.doc_id").alias("high"), F.max("open").alias("any"))
-    reps = same.join(sizes.where("low < high AND any").select("near"), "near").select("near", "open", each).select("near", "open", "m.*")
+    reps = same.join(sizes.where("low < high AND any").select("near"), "near").select("near", "open", "top", each).select("near", "open", "top", "m.*")
     reps = materialize(reps, "members")
     sizes = reps.groupBy("near").agg(F.count("*").alias("n")).select("near", F.ceil(F.col("n") / _BLOCK).cast("int").alias("blocks"))
     split = reps.join(sizes, "near")
     every = F.explode(F.expr("sequence(0, blocks - 1)")).alias("block")
-    outer = split.where("open").select("near", "doc_id", "l", "c", "r", F.pmod(F.hash("doc_id"), F.col("blocks")).alias("block"))
+    outer = split.where("open").select("near", "top", "doc_id", "l", "c", "r", F.pmod(F.hash("doc_id"), F.col("blocks")).alias("block"))
     inner = split.select("near", *[F.col(x).alias(f"{x}2") for x in ("doc_id", "l", "c", "r")], every)
     # Members that one stands for meet it.
     mine = keyed.where("open").select("near", "around", "doc_id", "l", "c", "r").join(same.where("x.doc_id < y.doc_id").drop("open"), ["near", "around"])
     other = F.when(F.col("doc_id") == F.col("x.doc_id"), F.col("y")).otherwise(F.col("x"))
-    copies = mine.select("doc_id", "l", "c", "r", *[other[n].alias(f"{n}2") for n in ("doc_id", "c", "l", "r")])
+    copies = mine.select("top", "doc_id", "l", "c", "r", *[other[n].alias(f"{n}2") for n in ("doc_id", "c", "l", "r")])
     met = outer.join(inner, ["near", "block"]).select(*copies.columns).unionByName(copies)
-    return met.where((F.col("doc_id") != F.col("doc_id2")) & _meets(least * percent // 100)).select("doc_id", "c", "doc_id2", "c2")
+    return met.where((F.col("doc_id") != F.col("doc_id2")) & _meets(least * percent // 100)).select("doc_id", "c", "doc_id2", "c2", "top"), unmet, reps
 
 
 def substring_dedup(docs: DataFrame, words: int = 50, size: int = 5, percent: int = 80, functions: int = 5) -> DataFrame:
@@ -339,12 +388,12 @@ def substring_dedup(docs: DataFrame, words: int = 50, size: int = 5, percent: in
     tops = rows.groupBy("key").agg(F.min(place).alias("top"), F.max(place).alias("last")).where("top.doc_id < last.doc_id")
     tops = materialize(tops, "tops")
     other = F.when(F.col("doc_id") == F.col("top.doc_id"), F.col("last")).otherwise(F.col("top"))
-    shared = rows.join(tops, "key").select("doc_id", "l", "c", "r", *[other[x].alias(f"{x}2") for x in ("doc_id", "c", "l", "r")])
+    shared = rows.join(tops, "key").select(F.col("top.doc_id").alias("top"), "doc_id", "l", "c", "r", *[other[x].alias(f"{x}2") for x in ("doc_id", "c", "l", "r")])
     shared = shared.where(_meets(least * percent // 100))
-    first = materialize(_verified(docs, shared, size, least, percent), "found")
-    rest = _unexplained(rows, tops, first, size, least, percent)
-    found = materialize(first.unionByName(_verified(docs, rest, size, least, percent)), "found")
-    discard(rows, tops, bitmap, first)
+    first = _verified(docs, shared, size, least, percent)
+    rest, *read = _unexplained(rows, tops, first, size, least, percent)
+    found = first.unionByName(_verified(docs, rest, size, least, percent))
+    discard(rows, tops, bitmap, *read)
     # At most one row for each word of a document is left before passages are joined.
     spans = found.groupBy("doc_id", "start_word").agg(F.max("end_word").alias("end_word"), F.min("partner_id").alias("partner_id"))
     return _merged(spans)
