@@ -26,9 +26,10 @@ from .workdir import discard, materialize, small_batches
 _PLACE_BITS = 24
 _PLACES = (1 << _PLACE_BITS) - 1
 _TURN = 0x9E3779 | 1
-_BLOCK = 2048
 #: Documents of one side of a cell in which pairs are verified.
-_CELL = 128
+_CELL = 48
+#: Pairs of a cell that documents with few pairs share.
+_PAIRS = 128
 
 
 def compact_windows(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,15 +132,15 @@ def _windows(size: int, functions: int, least: int):
             for lo, hi, f, doc, value, l, c, r, flat, first, last in _text_windows(batch.column(1), size, functions, least):
                 doc_ids = ids.slice(lo, hi - lo).cast(pa.int64()).take(pa.array(doc))
                 base = first[doc]
-                near = []
-                for side, at in ((1, c + size), (2, c - size)):
-                    inside = (at >= base) & (at < last[doc])
-                    other = flat[np.where(inside, at, 0)] if len(flat) else np.empty(0, np.uint64)
-                    key = tb.mix((value ^ np.uint64(f + 1)) * np.uint64(0x9E3779B97F4A7C15) + other + np.uint64(side))
-                    near.append(pa.array(key.view(np.int64), mask=~inside))
+                # The shingle after the place, or before it at a text's end, makes the key.
+                after = c + size < last[doc]
+                beside = np.where(after, c + size, c - size)
+                inside = beside >= base
+                other = flat[np.where(inside, beside, 0)] if len(flat) else np.empty(0, np.uint64)
+                key = tb.mix((value ^ np.uint64(f + 1)) * np.uint64(0x9E3779B97F4A7C15) + other + np.where(after, np.uint64(1), np.uint64(2)))
                 yield pa.RecordBatch.from_arrays(
-                    [doc_ids, pa.array((value + np.uint64(f)).view(np.int64)), *near, *(pa.array(x - base, pa.int32()) for x in (l, c, r)), pa.array(_around(flat, c, base, last[doc], size, least).view(np.int64))],
-                    names=["doc_id", "value", "right", "left", "l", "c", "r", "around"],
+                    [doc_ids, pa.array((value + np.uint64(f)).view(np.int64)), pa.array(key.view(np.int64), mask=~inside), *(pa.array(x - base, pa.int32()) for x in (l, c, r)), pa.array(_around(flat, c, base, last[doc], size, least).view(np.int64))],
+                    names=["doc_id", "value", "key", "l", "c", "r", "around"],
                 )
 
     return run
@@ -180,26 +181,41 @@ def _ranges(match: np.ndarray, least: int, percent: int):
 
 
 class _Text:
-    """A document's shingles as numbers, and its places in the order of (number, place)."""
-
-    def __init__(self, number: np.ndarray):
-        self.number = number
-        self.keys = np.sort((number << 32) | np.arange(len(number)))
-
-
-def _nearest(x: _Text, y: _Text, low: int, high: int) -> np.ndarray:
-    """For each place of x the diagonal (place in x less place in y) in low..high, nearest to their middle, on which y has its shingle; beyond high if none."""
-    middle, none = (low + high) // 2, high + 1
-    place = np.arange(len(x.number))
-    first = np.searchsorted(y.keys, (x.number << 32) + np.maximum(place - middle, 0))
-    out = np.full(len(place), none)
-    for at in (first - 1, first):
-        key = y.keys[np.clip(at, 0, max(0, len(y.keys) - 1))] if len(y.keys) else np.full(len(place), -1)
-        diagonal = place - (key & 0xFFFFFFFF)
-        good = (at >= 0) & (at < len(y.keys)) & (key >> 32 == x.number) & (diagonal >= low) & (diagonal <= high)
-        good &= (out == none) | (np.abs(diagonal - middle) < np.abs(out - middle))
-        out[good] = diagonal[good]
-    return out
+    """A document's shingles as numbers below ``numbers``."""
+
+    def __init__(self, number: np.ndarray, numbers: int):
+        self.number, self.numbers = number, numbers
+        self.keys = None
+
+    def places(self, of: np.ndarray, low: int, high: int) -> np.ndarray:
+        """For each place of the text ``of`` the diagonal (that place less the place here) in low..high on which this text has its shingle.
+
+        The one nearest to their middle if there are several; beyond high if there is none.
+        """
+        if self.keys is None:
+            self.keys = np.sort((self.number << 32) | np.arange(len(self.number)))
+            self.once = (np.diff(self.keys >> 32) > 0).all()
+            if self.once:
+                self.at = np.full(self.numbers, -1)
+                self.at[self.number] = np.arange(len(self.number))
+        place, none = np.arange(len(of)), high + 1
+        if self.once:
+            at = self.at[of]
+            diagonal = place - at
+            return np.where((at >= 0) & (diagonal >= low) & (diagonal <= high), diagonal, none)
+        middle = (low + high) // 2
+        first = np.searchsorted(self.keys, (of << 32) + np.maximum(place - middle, 0))
+        out = np.full(len(place), none)
+        for at in (first - 1, first):
+            key = self.keys[np.clip(at, 0, len(self.keys) - 1)]
+            diagonal = place - (key & 0xFFFFFFFF)
+            good = (at >= 0) & (at < len(self.keys)) & (key >> 32 == of) & (diagonal >= low) & (diagonal <= high)
+            good &= (out == none) | (np.abs(diagonal - middle) < np.abs(out - middle))
+            out[good] = diagonal[good]
+        return out
+
+    def forget(self) -> None:
+        self.keys = self.at = None
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -208,34 +224,59 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _banded(x: _Text, y: _Text, low: int, high: int, least: int, percent: int):
+def _along(match: np.ndarray, x: np.ndarray, y: np.ndarray, shift: np.ndarray, least: int, percent: int):
+    """(from, to, from in y, to in y) of the similar ranges of x whose place i stands for place i - shift[i] of y where match[i]."""
+    for a, b in _ranges(match, least, percent):
+        c, d = a - int(shift[a]), b - int(shift[b - 1])
+        same = match[a:b].all() and (shift[a:b] == shift[a]).all()
+        if same or (d - c >= least and _similar(x[a:b], y[c:d], percent)):
+            yield a, b, c, d
+
+
+def _near_diagonals(x: _Text, y: _Text, low: int, high: int, least: int, percent: int):
     """(from, to, from in y, to in y) of the similar passages on diagonals low..high: words may be put in or left out inside them."""
-    near = _nearest(x, y, low, high)
-    for a, b in _ranges(near <= high, least, percent):
-        c, d = a - int(near[a]), b - int(near[b - 1])
-        if d - c >= least and _similar(x.number[a:b], y.number[c:d], percent):
+    near = y.places(x.number, low, high)
+    hits = np.flatnonzero(near <= high)
+    if 100 * len(hits) < percent * least:
+        return
+    lo, hi = int(hits[0]), int(hits[-1]) + 1
+    near = near[lo:hi]
+    if hi - lo == len(hits) and (near == near[0]).all():
+        if hi - lo >= least:
+            yield lo, hi, lo - int(near[0]), hi - int(near[0])
+        return
+    rest = near <= high
+    for a, b, c, d in _along(rest.copy(), x.number[lo:hi], y.number, near - lo, least, percent):
+        rest[a:b] = False
+        yield a + lo, b + lo, c, d
+    # What is too long by one side's count of edits may not be by the other's.
+    left = np.flatnonzero(rest)
+    if 100 * len(left) >= percent * least:
+        place = left + lo - near[left]
+        back, other = np.zeros(len(y.number), np.int64), np.zeros(len(y.number), bool)
+        back[place], other[place] = -near[left], True
+        for c, d, a, b in _along(other, y.number, x.number, back, least, percent):
             yield a, b, c, d
 
 
 def passages(x: _Text, y: _Text, shifts: list[int], least: int, percent: int):
     """(from, to, from in y, to in y), in shingles, of the similar passages of two texts near the diagonals ``shifts``."""
+    if 0 in shifts and np.array_equal(x.number, y.number):
+        if len(x.number) >= least:
+            yield 0, len(x.number), 0, len(x.number)
+        return
     # So many words may be missing from one of two similar passages whose parts are too short by themselves.
     band = 2 * least * (100 - percent) // max(1, percent)
     shifts = sorted(shifts)
     cuts = [0, *[i for i in range(1, len(shifts)) if shifts[i] - shifts[i - 1] > band], len(shifts)]
     for lo, hi in zip(cuts, cuts[1:]):
-        low, high = shifts[lo] - band, shifts[hi - 1] + band
-        found = list(_banded(x, y, low, high, least, percent))
-        # What is too long by one side's count of edits may not be by the other's.
-        found += [(s, e, c, d) for c, d, s, e in _banded(y, x, -high, -low, least, percent)]
+        found = list(_near_diagonals(x, y, shifts[lo] - band, shifts[hi - 1] + band, least, percent))
         if not found:
             for shift in shifts[lo:hi]:
                 a, b = max(0, shift), min(len(x.number), len(y.number) + shift)
                 if b - a >= least:
-                    for s, e in _ranges(x.number[a:b] == y.number[a - shift : b - shift], least, percent):
-                        s, e = s + a, e + a
-                        if _similar(x.number[s:e], y.number[s - shift : e - shift], percent):
-                            found.append((s, e, s - shift, e - shift))
+                    match = x.number[a:b] == y.number[a - shift : b - shift]
+                    found += [(s + a, e + a, c + a - shift, d + a - shift) for s, e, c, d in _along(match, x.number[a:b], y.number[a - shift : b - shift], np.zeros(b - a, np.int64), least, percent)]
         yield from found
 
 
@@ -263,13 +304,18 @@ def _verify(size: int, least: int, percent: int):
             hashes, counts = tb.word_hashes(column.slice(lo, hi - lo), word)
             e = np.cumsum(counts)
             grams += [tb.shingles(hashes[j - n : j], size) if n >= size else np.empty(0, np.uint64) for j, n in zip(e.tolist(), counts.tolist())]
-        number = np.unique(np.concatenate(grams), return_inverse=True)[1].astype(np.int64) if grams else np.empty(0, np.int64)
+        distinct, number = np.unique(np.concatenate(grams), return_inverse=True) if grams else ((), np.empty(0, np.int64))
         ends = np.cumsum([len(g) for g in grams])
         rows: dict[int, list[_Text]] = {}
         for k, e, g in zip(texts.column("doc_id").to_pylist(), ends, grams):
-            rows.setdefault(k, []).append(_Text(number[e - len(g) : e]))
+            rows.setdefault(k, []).append(_Text(number[e - len(g) : e], len(distinct)))
         spans: dict[int, list[tuple[int, int, int]]] = {}
-        for a, b, shifts in zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "shifts"))):
+        last = None
+        for a, b, shifts in sorted(zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "shifts"))), key=lambda p: (p[1], p[0])):
+            if last != b:  # one document's table of places at a time
+                for y in rows.get(last, ()):
+                    y.forget()
+                last = b
             for x, y in itertools.product(rows.get(a, ()), rows.get(b, ())):
                 for s, e, c, d in passages(x, y, shifts, least, percent):
                     spans.setdefault(a, []).append((s, e + size - 1, b))
@@ -286,19 +332,33 @@ def _meets(least: int):
     return left + F.least(F.col("r") - F.col("c"), F.col("r2") - F.col("c2")) + 1 >= F.lit(least)
 
 
-def _verified(docs: DataFrame, shared: DataFrame, size: int, least: int, percent: int) -> DataFrame:
-    """(doc_id, start_word, end_word, partner_id) of the passages around the places that shared(doc_id, c, doc_id2, c2, top) names.
+def _pairs(shared: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(a, b, shifts, top) of shared(doc_id, c, doc_id2, c2, top), without the shifts that known(a, b, shifts) has."""
+    shift = F.when(F.col("doc_id") > F.col("doc_id2"), F.col("c") - F.col("c2")).otherwise(F.col("c2") - F.col("c"))
+    pairs = shared.select(F.greatest("doc_id", "doc_id2").alias("a"), F.least("doc_id", "doc_id2").alias("b"), shift.alias("shift"), "top")
+    pairs = pairs.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts"), F.min("top").alias("top"))
+    if known is not None:
+        before = known.select("a", "b", F.col("shifts").alias("before"))
+        pairs = pairs.join(before, ["a", "b"], "left").withColumn("shifts", F.when(F.col("before").isNull(), F.col("shifts")).otherwise(F.array_except("shifts", "before"))).where("size(shifts) > 0")
+    return materialize(pairs.select("a", "b", "shifts", "top"), "pairs")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, size: int, least: int, percent: int) -> DataFrame:
+    """(doc_id, start_word, end_word, partner_id) of the passages of pairs(a, b, shifts, top) near their diagonals.
 
     Pairs that met under one document's keys lie together, split into a grid of
-    bounded cells, so a text is sent to a cell once and not once a pair.
+    bounded cells, so a text is sent to a cell once and not once a pair. Documents
+    with few pairs share cells.
     """
-    shift = F.when(F.col("doc_id") > F.col("doc_id2"), F.col("c") - F.col("c2")).otherwise(F.col("c2") - F.col("c"))
-    pairs = shared.select(F.greatest("doc_id", "doc_id2").alias("a"), F.least("doc_id", "doc_id2").alias("b"), shift.alias("shift"), "top")
-    pairs = materialize(pairs.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts"), F.min("top").alias("top")), "pairs")
     sides = [pairs.select("top", side).distinct().groupBy("top").agg(F.ceil(F.count("*") / _CELL).cast("int").alias(f"n_{side}")) for side in "ab"]
     grid = materialize(sides[0].join(sides[1], "top"), "grid")
+    shared = F.pmod(F.xxhash64("top"), F.lit(1 + pairs.count() // _PAIRS))
+    few = (F.col("n_a") == 1) & (F.col("n_b") == 1)
     dealt = materialize(
-        pairs.join(grid, "top").select("top", F.pmod(F.hash("a"), "n_a").alias("i"), F.pmod(F.hash("b"), "n_b").alias("j"), "a", "b", "shifts"), "dealt"
+        pairs.join(grid, "top").select(
+            F.when(few, -1 - shared).otherwise(F.col("top")).alias("top"), F.pmod(F.hash("a"), "n_a").alias("i"), F.pmod(F.hash("b"), "n_b").alias("j"), "a", "b", "shifts"
+        ),
+        "dealt",
     )
     cell = ("cell_top", "cell_i", "cell_j")
     wanted = dealt.select(*[F.col(c.split("_")[1]).alias(c) for c in cell], F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -308,52 +368,44 @@ def _verified(docs: DataFrame, shared: DataFrame, size: int, least: int, percent
         _verify(size, least, percent), "doc_id long, start_word long, end_word long, partner_id long"
     )
     found = materialize(found, "found")
-    discard(pairs, grid, dealt)
+    discard(grid, dealt)
     return found
 
 
-def _unexplained(rows: DataFrame, tops: DataFrame, found: DataFrame, size: int, least: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs of windows (and the tables that they read) to be verified where the comparison with the key's smallest document found no passage.
+def _unexplained(rows: DataFrame, found: DataFrame, size: int, least: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs of windows (and the tables that they read) to be verified where the comparison with a key's smallest document found no passage.
 
-    Such a window meets all other members of its key that have the smallest hash of
-    a range beside c in common, in blocks of bounded size; members that are equal
-    by all four ranges stand for one, as a key with a short phrase has many members
-    and hardly any that go on alike.
+    A window's hash and the smallest hash of a range beside c make a second kind of
+    key. A window without a passage meets two members of each of those: the one that
+    shares most with others, which of edited copies is the least edited one, and one
+    at random. So the work is linear in the windows.
     """
     part = F.explode(F.sequence(F.floor(F.col("start_word") / 64), F.floor((F.col("end_word") - size) / 64))).alias("part")
     spans = _merged(found.groupBy("doc_id", "start_word").agg(F.max("end_word").alias("end_word"), F.min("partner_id").alias("partner_id")))
     spans = spans.select("doc_id", "start_word", "end_word", part).groupBy("doc_id", "part").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     inside = F.coalesce(F.exists("spans", lambda s: (s["start_word"] <= F.col("c")) & (F.col("c") <= s["end_word"] - size)), F.lit(False))
-    rows = rows.join(tops.select("key", F.col("top.doc_id").alias("top")), "key")
-    shared = rows.withColumn("part", F.floor(F.col("c") / 64)).join(spans, ["doc_id", "part"], "left")
-    names = ["key", "top", "doc_id", "l", "c", "r", "around"]
-    unmet = materialize(shared.where(~inside).select(*names), "unmet")
-    # A window without a passage is in both parts of the union; the flag's largest value holds.
-    members = keep_listed(rows.select(*names), build_bitmap(unmet.select("key").distinct(), ["key"]), [F.col("key")])
-    members = members.withColumn("open", F.lit(False)).unionByName(unmet.withColumn("open", F.lit(True)))
-    # Equal surroundings of one key are one member: the smallest document's; a second document's is kept to meet it.
-    ranges = F.explode(F.array(*[F.when(slot != 0, F.xxhash64("key", F.lit(i), slot)) for i in range(4) for slot in [F.expr(f"shiftright(around, {16 * i}) & 65535")]]))
-    keyed = members.select("top", "doc_id", "l", "c", "r", "around", "open", ranges.alias("near")).where("near IS NOT NULL")
-    one = F.struct("doc_id", "c", "l", "r")
-    same = keyed.groupBy("near", "around").agg(F.min(one).alias("x"), F.max(one).alias("y"), F.max("open").alias("open"), F.min("top").alias("top"))
-    each = F.explode(F.when(F.col("x.doc_id") < F.col("y.doc_id"), F.array("x", "y")).otherwise(F.array("x"))).alias("m")
-    sizes = same.groupBy("near").agg(F.min("x.doc_id").alias("low"), F.max("y.doc_id").alias("high"), F.max("open").alias("any"))
-    reps = same.join(sizes.where("low < high AND any").select("near"), "near").select("near", "open", "top", each).select("near", "open", "top", "m.*")
-    reps = materialize(reps, "members")
-    sizes = reps.groupBy("near").agg(F.count("*").alias("n")).select("near", F.ceil(F.col("n") / _BLOCK).cast("int").alias("blocks"))
-    split = reps.join(sizes, "near")
-    every = F.explode(F.expr("sequence(0, blocks - 1)")).alias("block")
-    outer = split.where("open").select("near", "top", "doc_id", "l", "c", "r", F.pmod(F.hash("doc_id"), F.col("blocks")).alias("block"))
-    inner = split.select("near", *[F.col(x).alias(f"{x}2") for x in ("doc_id", "l", "c", "r")], every)
-    # Members that one stands for meet it.
-    mine = keyed.where("open").select("near", "around", "doc_id", "l", "c", "r").join(same.where("x.doc_id < y.doc_id").drop("open"), ["near", "around"])
-    other = F.when(F.col("doc_id") == F.col("x.doc_id"), F.col("y")).otherwise(F.col("x"))
-    copies = mine.select("top", "doc_id", "l", "c", "r", *[other[n].alias(f"{n}2") for n in ("doc_id", "c", "l", "r")])
-    met = outer.join(inner, ["near", "block"]).select(*copies.columns).unionByName(copies)
-    return met.where((F.col("doc_id") != F.col("doc_id2")) & _meets(least * percent // 100)).select("doc_id", "c", "doc_id2", "c2", "top"), unmet, reps
-
-
-def substring_dedup(docs: DataFrame, words: int = 50, size: int = 5, percent: int = 80, functions: int = 5) -> DataFrame:
+    ranges = F.explode(F.array(*[F.when(slot != 0, F.xxhash64("value", F.lit(i), slot)) for i in range(4) for slot in [F.expr(f"shiftright(around, {16 * i}) & 65535")]])).alias("near")
+    place = ("doc_id", "c", "l", "r")
+    unmet = rows.withColumn("part", F.floor(F.col("c") / 64)).join(spans, ["doc_id", "part"], "left").where(~inside)
+    unmet = materialize(unmet.select(ranges, *place).where("near IS NOT NULL"), "unmet")
+    members = rows.select(ranges, *place).where("near IS NOT NULL")
+    members = keep_listed(members, build_bitmap(unmet.select("near").distinct(), ["near"]), [F.col("near")])
+    members = materialize(members, "members")
+    sizes = members.groupBy("near").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    sizes = materialize(sizes.select("near", "n"), "sizes")
+    sized = members.join(sizes, "near")
+    weights = materialize(sized.groupBy("doc_id").agg(F.avg("n").alias("weight")), "weights")
+    one = F.struct(*place)
+    ranked = sized.join(weights, "doc_id").groupBy("near").agg(
+        F.max(F.struct("weight", F.hash("doc_id").alias("h"), one.alias("m"))).alias("x"), F.max(F.struct(F.hash("near", "doc_id").alias("h"), one.alias("m"))).alias("y")
+    )
+    pivots = materialize(ranked.select("near", F.array("x.m", "y.m").alias("pivots")), "pivots")
+    met = unmet.join(pivots, "near").select(*place, F.explode("pivots").alias("p")).select(*place, *[F.col(f"p.{n}").alias(f"{n}2") for n in place])
+    met = met.where((F.col("doc_id") != F.col("doc_id2")) & _meets(least * percent // 100)).select("doc_id", "c", "doc_id2", "c2", F.col("doc_id2").alias("top"))
+    return met, [unmet, members, sizes, weights, pivots]
+
+
+def substring_dedup(docs: DataFrame, words: int = 50, size: int = 5, percent: int = 80, functions: int = 4) -> DataFrame:
     """doc_id, start_word, end_word, n_words, partner_id: the passages of docs(doc_id, text, ...) that other documents repeat.
 
     A passage has at least ``words`` words (counted from 0; end_word is the first
@@ -363,9 +415,10 @@ def substring_dedup(docs: DataFrame, words: int = 50, size: int = 5, percent: in
     passages of a document are one; partner_id is then the smallest of their
     partners. Groups of copies aren't expanded: every member is verified against
     the group's smallest doc_id, and windows for which that finds no passage against
-    the group's other members. A passage is missed if under all functions its smallest
-    hash, a shingle next to it or the ranges beside it are edited; how often depends
-    on where the edits lie (tests/llm/test_ops.py holds cases).
+    the most connected member, and a random one, of each of their finer groups. A
+    passage is missed if under all functions its smallest hash, a shingle next to it or
+    the ranges beside it are edited, or if no member that it meets is similar to it;
+    how often depends on where the edits lie (tests/llm/test_ops.py holds cases).
 
     Words are runs of other than ASCII white space, A-Z taken as a-z. Null, empty and
     short texts have no passages. Passages repeated inside one document alone don't
@@ -378,22 +431,25 @@ def substring_dedup(docs: DataFrame, words: int = 50, size: int = 5, percent: in
     values = docs.select("text").mapInArrow(_values(size, functions, least), "value long, n long")
     repeated = values.groupBy("value").agg(F.sum("n").alias("n")).where("n > 1")
     bitmap = materialize(build_bitmap(repeated, ["value"]), "repeated")
-    windows = docs.mapInArrow(_windows(size, functions, least), "doc_id long, value long, right long, left long, l int, c int, r int, around long")
+    windows = docs.mapInArrow(_windows(size, functions, least), "doc_id long, value long, key long, l int, c int, r int, around long")
     windows = keep_listed(windows, bitmap, [F.col("value")])
     rows = materialize(
-        windows.select("doc_id", "l", "c", "r", "around", F.explode(F.array("right", "left")).alias("key")).where("key IS NOT NULL"), "windows"
+        windows.select("doc_id", "value", "key", "l", "c", "r", "around"), "windows"
     )
     # The smallest document's own places of a key meet a place of the key's largest document.
     place = F.struct("doc_id", "c", "l", "r")
-    tops = rows.groupBy("key").agg(F.min(place).alias("top"), F.max(place).alias("last")).where("top.doc_id < last.doc_id")
+    tops = rows.where("key IS NOT NULL").groupBy("key").agg(F.min(place).alias("top"), F.max(place).alias("last")).where("top.doc_id < last.doc_id")
     tops = materialize(tops, "tops")
     other = F.when(F.col("doc_id") == F.col("top.doc_id"), F.col("last")).otherwise(F.col("top"))
     shared = rows.join(tops, "key").select(F.col("top.doc_id").alias("top"), "doc_id", "l", "c", "r", *[other[x].alias(f"{x}2") for x in ("doc_id", "c", "l", "r")])
     shared = shared.where(_meets(least * percent // 100))
-    first = _verified(docs, shared, size, least, percent)
-    rest, *read = _unexplained(rows, tops, first, size, least, percent)
-    found = first.unionByName(_verified(docs, rest, size, least, percent))
+    pairs = _pairs(shared)
+    first = _verified(docs, pairs, size, least, percent)
+    rest, read = _unexplained(rows, first, size, least, percent)
+    more = _pairs(rest, pairs)
     discard(rows, tops, bitmap, *read)
+    found = first.unionByName(_verified(docs, more, size, least, percent))
+    discard(pairs, more)
     # At most one row for each word of a document is left before passages are joined.
     spans = found.groupBy("doc_id", "start_word").agg(F.max("end_word").alias("end_word"), F.min("partner_id").alias("partner_id"))
     return _merged(spans)
