@@ -116,7 +116,12 @@ class PrefixCounter:
                 base[i] += 1
                 at[i].append(where[i : i + 1].copy())
                 upto[i].append(base[i : i + 1].copy())
-        return counts, [np.concatenate(x) for x in at], [np.concatenate(x) for x in upto]
+        ends_at, exact = [np.concatenate(x) for x in at], [np.concatenate(x) for x in upto]
+        for i, (text, p) in enumerate(zip(texts, ends_at)):
+            # A prefix that ends in white space is cut into other pieces than the whole text is.
+            keep = np.array([e == len(text) or not text[e - 1].isspace() for e in p.tolist()], bool)
+            ends_at[i], exact[i] = p[keep], exact[i][keep]
+        return counts, ends_at, exact
 
     def every_prefix(self, text: str) -> np.ndarray:
         """The token count of text[:p] for p from 0 to its length; each piece is solved once."""
@@ -183,7 +188,8 @@ def token_counts(docs: DataFrame, vocabulary: str, store: str = "totals") -> Dat
 
     ``vocabulary`` is a tokenizers file that every executor can open. With
     ``store="pieces"`` two arrays follow: prefix_end (code points) and
-    prefix_tokens (exact count of the prefix that ends there), one entry a piece;
+    prefix_tokens (exact count of the prefix that ends there), one entry a piece that
+    doesn't end in white space, and the text's end;
     with ``store="all"`` prefix_tokens has the count of every prefix, from the
     empty one on, and prefix_end is 0, 1, 2...
 
