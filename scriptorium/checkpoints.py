@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint(); a folder of our own is set only where neither the session nor its context names one (tests)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scriptorium-"))
-    return df.checkpoint()
+    """df as a Parquet table in the folder that spark.checkpoint.dir names, written once; a temporary folder is set in local mode only (tests)."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="scriptorium-"))
+        folder = context.getCheckpointDir()
+    path = f"{folder}/scriptorium/{context.applicationId}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -54,13 +54,13 @@ def norm_fact(c: Column) -> Column:
 
 
 def gram_list(c: Column, n: int) -> Column:
-    """All runs of n characters, with repeats; empty if the text is shorter."""
+    """All runs of n >= 2 characters, with repeats; empty if the text is shorter. Time is linear: the text is cut into characters once."""
 
-    def grams(x: Column) -> Column:
-        places = F.sequence(F.lit(1), F.length(x) - (n - 1))
-        return F.when(F.length(x) >= n, F.transform(places, lambda i: F.substr(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    def grams(chars: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(chars) - n)
+        return F.when(F.size(chars) >= n, F.transform(places, lambda i: F.concat(*[chars[i + k] for k in range(n)]))).otherwise(F.array().cast("array<string>"))
 
-    return let(c, grams)
+    return let(F.split(c, ""), grams)
 
 
 def gram_set(c: Column, n: int = 3) -> Column:
@@ -122,10 +122,12 @@ def exempt_numbers(c: Column) -> Column:
 
 
 def plain_numbers(c: Column) -> Column:
-    """Distinct numbers of three digits or more that aren't years, commas removed."""
-    found = F.transform(F.regexp_extract_all(F.replace(c, F.lit(","), F.lit("")), _lit(PLAIN_NUMBER), F.lit(0)), lambda x: F.regexp_replace(x, r"\.+$", ""))
-    keep = F.filter(found, lambda x: (F.length(F.replace(x, F.lit("."), F.lit(""))) >= 3) & ~F.rlike(x, _lit(YEAR)))
-    return F.array_sort(F.array_distinct(keep))
+    """Distinct numbers of three digits or more that aren't years; commas go once a number is found, and a year with a closing dot is none."""
+    bare = lambda x: F.replace(x, F.lit(","), F.lit(""))
+    found = F.filter(
+        F.regexp_extract_all(c, _lit(PLAIN_NUMBER), F.lit(0)), lambda x: (F.length(F.replace(bare(x), F.lit("."), F.lit(""))) >= 3) & ~F.rlike(bare(x), _lit(YEAR))
+    )
+    return F.array_sort(F.array_distinct(F.transform(found, _clean_number)))
 
 
 def quoted_numbers(c: Column) -> Column:
@@ -136,7 +138,7 @@ def quoted_numbers(c: Column) -> Column:
 
 def citation_ids(c: Column) -> Column:
     """Distinct numbers in square brackets, ascending."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(c, _lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda x: x.cast("int"))))
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(c, _lit(r"\[(\d+)\]"), F.lit(1)), lambda x: F.coalesce(x.try_cast("decimal(38,0)"), F.lit("9" * 38).cast("decimal(38,0)")))))
 
 
 def page_number(lines: Column) -> Column:

@@ -26,14 +26,13 @@ def alias_of(rows: DataFrame, identity: Column, key: str) -> DataFrame:
     return joined.withColumn("alias_of", F.when(F.col("_first") < F.col(key), F.col("_first"))).drop("_identity", "_first")
 
 
-def similar_pairs(rows: DataFrame, group: str, order: str, text: Column, threshold: float) -> DataFrame:
-    """(group, i, j): pairs i < j of a group whose sets of 3-grams have a Jaccard over the threshold; empty sets have none.
+def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(g, i, j): pairs i < j of a group whose sets have a Jaccard over the threshold, of sets(g, o, grams); empty sets have none.
 
     Grams are joined rarest first: two sets that similar share one of the first
     n - ceil(threshold * n) + 1 grams in any common order, so frequent grams are
     hardly ever joined on.
     """
-    sets = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), fx.gram_set(text).alias("grams")).where("size(grams) > 0")
     exploded = sets.select("g", "o", F.explode("grams").alias("gram"))
     rank = exploded.groupBy("g", "gram").agg(F.count("*").alias("n")).where("n > 1")
     ordered = exploded.join(rank, ["g", "gram"], "left").groupBy("g", "o").agg(
@@ -41,23 +40,29 @@ def similar_pairs(rows: DataFrame, group: str, order: str, text: Column, thresho
     )
     size = F.size("s")
     prefix = F.slice("s", F.lit(1), (size - F.ceil(size * threshold) + 1).cast("int"))
-    keys = ordered.select("g", "o", F.transform("s", lambda x: x["gram"]).alias("grams"), F.transform(F.filter(prefix, lambda x: x["n"] > 1), lambda x: x["gram"]).alias("keys"))
-    tokens = keys.select("g", "o", F.explode("keys").alias("gram"))
-    pairs = tokens.alias("a").join(tokens.alias("b"), ["g", "gram"]).where("a.o < b.o").select("g", F.col("a.o").alias("i"), F.col("b.o").alias("j")).distinct()
-    full = keys.select("g", "o", "grams")
-    both = pairs.join(full.select("g", F.col("o").alias("i"), F.col("grams").alias("gi")), ["g", "i"]).join(full.select("g", F.col("o").alias("j"), F.col("grams").alias("gj")), ["g", "j"])
+    keys = ordered.select("g", "o", size.alias("size"), F.filter(prefix, lambda x: x["n"] > 1).alias("keys"))
+    tokens = cut(keys.select("g", "o", "size", F.explode("keys.gram").alias("gram")))
+    close = (F.col("a.o") < F.col("b.o")) & (F.least("a.size", "b.size") > threshold * F.greatest("a.size", "b.size"))
+    pairs = tokens.alias("a").join(tokens.alias("b"), ["g", "gram"]).where(close).select("g", F.col("a.o").alias("i"), F.col("b.o").alias("j")).distinct()
+    both = pairs.join(sets.select("g", F.col("o").alias("i"), F.col("grams").alias("gi")), ["g", "i"]).join(sets.select("g", F.col("o").alias("j"), F.col("grams").alias("gj")), ["g", "j"])
     return both.where(fx.jaccard(F.col("gi"), F.col("gj")) > threshold).select("g", "i", "j")
 
 
 def greedy_near_dup(rows: DataFrame, group: str, order: str, text: Column, threshold: float = 0.8) -> DataFrame:
     """Adds kept: in order, a row goes if it is too similar to an earlier row of its group that was kept.
 
-    A dropped row drops nothing. Rounds decide, all groups at once, every row whose
-    earlier similar rows are decided; rows are few rounds deep in practice.
+    A dropped row drops nothing. Of rows with equal sets of 3-grams only the first
+    can stay, and what it is similar to the others are too, so they go before pairs
+    are made. Rounds then decide, all groups at once, every row whose earlier similar
+    rows are decided; rows are few rounds deep in practice.
     """
-    pairs = cut(similar_pairs(rows, group, order, text, threshold))
-    dropped = pairs.select("g", F.col("j").alias("o")).limit(0)
-    open_pairs = pairs
+    grams = F.array_sort(F.array_distinct(F.transform(fx.gram_list(text, 3), lambda g: F.xxhash64(g))))
+    sets = cut(rows.select(F.col(group).alias("g"), F.col(order).alias("o"), grams.alias("grams")).where("size(grams) > 0"))
+    key = F.sha2(F.array_join(F.transform("grams", lambda x: x.cast("string")), ","), 256).alias("same")
+    keyed = sets.select("g", "o", key)
+    firsts = cut(keyed.groupBy("g", "same").agg(F.min("o").alias("o")))
+    dropped = keyed.join(firsts, ["g", "same", "o"], "left_anti").select("g", "o")
+    open_pairs = cut(similar_pairs(cut(sets.join(firsts.select("g", "o"), ["g", "o"], "left_semi")), threshold))
     while True:
         # Rows that nothing open stands before are kept; what they are similar to goes.
         later = open_pairs.select("g", F.col("j").alias("i")).distinct()
@@ -69,7 +74,7 @@ def greedy_near_dup(rows: DataFrame, group: str, order: str, text: Column, thres
         out = gone.withColumnRenamed("o", "i")
         rest = open_pairs.join(free, ["g", "i"], "left_anti").join(out, ["g", "i"], "left_anti")
         open_pairs = cut(rest.join(gone.withColumnRenamed("o", "j"), ["g", "j"], "left_anti"))
-    marks = dropped.select(F.col("g").alias(group), F.col("o").alias(order), F.lit(False).alias("_kept"))
+    marks = dropped.distinct().select(F.col("g").alias(group), F.col("o").alias(order), F.lit(False).alias("_kept"))
     return rows.join(marks, [group, order], "left").withColumn("kept", F.coalesce("_kept", F.lit(True))).drop("_kept")
 
 

@@ -78,11 +78,15 @@ def table_title(above: Column, keywords: list[str]) -> Column:
     return F.try_element_at(good, F.lit(-1))
 
 
+#: Fixed value: a cell that is a bare number.
+NUMERIC_CELL = r"^[\d,.\-—()（）%]+$"
+
+
 def looks_like_header(row: Column, keywords: list[str]) -> Column:
     """Two cells at least, none a bare number, one with a keyword."""
     cells = F.filter(F.transform(row, lambda c: fx.strip(F.coalesce(c, F.lit("")))), lambda c: c != "")
     has = F.exists(cells, lambda c: F.exists(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(c, k)))
-    return (F.size(cells) >= 2) & ~F.exists(cells, lambda c: F.rlike(c, F.lit(r"^[\d\s,.\-—－%()（）]+$"))) & has
+    return (F.size(cells) >= 2) & ~F.exists(cells, lambda c: F.rlike(c, F.lit(NUMERIC_CELL))) & has
 
 
 def inline_title(rows: Column, cell_widths: Column, table_width: Column, share: float = 0.7) -> Column:

@@ -86,17 +86,8 @@ def normalise_text(spark, sf):
 
 
 def evidence_level(spark, sf):
-    """Each benchmark item against the documents that hold its rarest word: containment is met by an equal key first."""
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    posts = docs.select("doc_id", F.explode(F.array_distinct(fx.query_tokens(F.col("text")))).alias("term"))
-    words = items.select("item_id", F.explode(F.array_distinct(fx.query_tokens(F.col("item")))).alias("term"))
-    df = posts.join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    rare = words.join(df, "term").groupBy("item_id").agg(F.min(F.struct("df", "term")).alias("r")).select("item_id", "r.term")
-    pairs = posts.join(rare, "term").select("doc_id", "item_id")
-    both = pairs.join(docs, "doc_id").join(items, "item_id")
-    lvl = vf.evidence_level(F.col("item"), F.col("text"))
-    return both.select("doc_id", "item_id", lvl.alias("e")).select("doc_id", "item_id", F.col("e.level").cast("long").alias("level"), F.col("e.ratio").alias("ratio"))
+    """Benchmark items and the documents that hold them verbatim or nearly so."""
+    return vf.evidence_matches(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "benchmark").withColumnRenamed("text", "item"), "item_id", "item")
 
 
 def number_tokens(spark, sf):
@@ -106,11 +97,9 @@ def number_tokens(spark, sf):
 
 
 def number_grounding(spark, sf):
-    """Numbers of a document that no other document of its source holds, met by (source, number) with sums."""
-    docs = table(spark, sf, "documents").select("doc_id", "source", fx.checked_numbers(F.col("text")).alias("numbers"))
-    each = docs.select("doc_id", "source", F.explode("numbers").alias("number"))
-    holders = each.groupBy("source", "number").agg(F.count("*").alias("n"))
-    marked = each.join(holders, ["source", "number"]).groupBy("doc_id").agg(F.count("*").alias("checked"), F.count_if(F.col("n") == 1).alias("unsupported"))
+    """A document's checked numbers that no other document of its source holds, inside a longer number or as one."""
+    met = vf.held_elsewhere(table(spark, sf, "documents"), "doc_id", "source", "text")
+    marked = met.groupBy("doc_id").agg(F.count("*").alias("checked"), F.count_if(~F.col("held")).alias("unsupported"))
     return marked.select("doc_id", "checked", "unsupported", (F.col("unsupported") == 0).alias("ok"))
 
 
@@ -140,7 +129,9 @@ def alias_dedup(spark, sf):
 
 
 def greedy_near_dup(spark, sf):
-    return cu.greedy_near_dup(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", F.col("text"), 0.8).select("conv_id", "turn", "kept")
+    """Documents of a source, in the order of their ids, by the normal form of questions."""
+    rows = table(spark, sf, "documents").select("doc_id", "source", "text")
+    return cu.greedy_near_dup(rows, "source", "doc_id", fx.norm_question(F.col("text")), 0.8).select("source", "doc_id", "kept")
 
 
 def stratified_split(spark, sf):
@@ -213,7 +204,7 @@ _tokens = rf"""list_filter(list_transform(list_zip(regexp_extract_all(text, '{_N
  lambda x: {{'m': x[1], 't': rtrim(replace(x[2], ',', ''), '.')}}), lambda x: length(replace(x.t, '.', '')) >= 3)"""
 _numbers = f"""nums AS (SELECT doc_id, source, list_transform(list_filter(k, lambda x: NOT (regexp_full_match(x.t, '(19|20)\\d{{2}}') OR coalesce(x.m, '') <> '')), lambda x: x.t) AS a,
  list_transform(list_filter(k, lambda x: regexp_full_match(x.t, '(19|20)\\d{{2}}') OR coalesce(x.m, '') <> ''), lambda x: x.t) AS b,
- list_filter(list_transform(regexp_extract_all(replace(text, ',', ''), '\\d[\\d,]*\\.?\\d*'), lambda x: rtrim(x, '.')), lambda x: length(replace(x, '.', '')) >= 3 AND NOT regexp_full_match(x, '(19|20)\\d{{2}}')) AS p
+ list_transform(list_filter(regexp_extract_all(text, '\\d[\\d,]*\\.?\\d*'), lambda x: length(replace(replace(x, ',', ''), '.', '')) >= 3 AND NOT regexp_full_match(replace(x, ',', ''), '(19|20)\\d{{2}}')), lambda x: rtrim(replace(x, ',', ''), '.')) AS p
  FROM (SELECT doc_id, source, text, {_tokens} AS k FROM documents))"""
 _ev = f"""SELECT doc_id, item_id, e, c, {_grams('e')} AS ge, {_grams('c')} AS gc FROM (SELECT doc_id, item_id, {_norm('b.text')} AS e, {_norm('d.text')} AS c
  FROM pairs JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id))"""
@@ -228,19 +219,17 @@ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subsc
 SELECT conv_id, turn, {_grams('x')} AS a, {_grams('y')} AS b FROM (SELECT conv_id, turn, {_norm('text', '？！')} AS x, {_norm('nxt', '？！')} AS y FROM (
 SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) WHERE nxt IS NOT NULL))""",
     "normalise_text": f"SELECT conv_id, turn, md5({_norm('text')}) AS evidence, md5({_norm('text', '？！')}) AS question, md5({_norm('text').replace('。、；：', '')}) AS fact FROM conversations",
-    "evidence_level": rf"""WITH posts AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM documents),
-words AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM benchmark),
-df AS (SELECT term, count(*) AS df FROM posts WHERE term IN (SELECT term FROM words) GROUP BY term),
-rare AS (SELECT item_id, term FROM words JOIN df USING (term) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY df, term) = 1),
-pairs AS (SELECT doc_id, item_id FROM posts JOIN rare USING (term)), g AS ({_ev})
-SELECT doc_id, item_id, CASE WHEN length(e) > 0 AND contains(c, e) THEN 2 WHEN length(e) < 6 THEN 0 WHEN r >= 0.9 THEN 1 ELSE 0 END::BIGINT AS level,
-CASE WHEN length(e) > 0 AND contains(c, e) THEN 1.0::DOUBLE WHEN length(e) < 6 THEN 0.0 ELSE r END AS ratio FROM (
-SELECT *, CASE WHEN len(ge) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(ge, gc))::DOUBLE / len(ge), 6) END AS r FROM g)""",
+    "evidence_level": f"""WITH d AS (SELECT doc_id, {_norm('text')} AS c FROM documents), b AS (SELECT item_id, {_norm('text')} AS e FROM benchmark), bg AS (SELECT item_id, e, {_grams('e')} AS ge FROM b),
+dg AS (SELECT doc_id, unnest({_grams('c')}) AS gram FROM d), ig AS (SELECT item_id, len(ge) AS n, unnest(ge) AS gram FROM bg),
+hits AS (SELECT doc_id, item_id, round(count(*)::DOUBLE / n, 6) AS r FROM dg JOIN ig USING (gram) GROUP BY doc_id, item_id, n)
+SELECT doc_id, item_id, CASE WHEN contains(c, e) THEN 2 ELSE 1 END::BIGINT AS level, CASE WHEN contains(c, e) THEN 1.0::DOUBLE ELSE r END AS ratio
+FROM hits JOIN d USING (doc_id) JOIN b USING (item_id) WHERE contains(c, e) OR (r >= 0.9 AND length(e) >= 6)""",
     "number_tokens": f"""WITH {_numbers} SELECT doc_id, array_to_string(list_sort(list_distinct(a)), ',') AS checked, array_to_string(list_sort(list_distinct(b)), ',') AS exempt,
 array_to_string(list_sort(list_distinct(p)), ',') AS plain FROM nums WHERE len(a) + len(b) + len(p) > 0""",
-    "number_grounding": f"""WITH {_numbers}, e AS (SELECT DISTINCT doc_id, source, unnest(a) AS number FROM nums), h AS (SELECT source, number, count(*) AS n FROM e GROUP BY ALL)
-SELECT doc_id, count(*) AS checked, count(*) FILTER (n = 1) AS unsupported, count(*) FILTER (n = 1) = 0 AS ok FROM e JOIN h USING (source, number) GROUP BY doc_id""",
-    "citation_ids": r"""WITH a AS (SELECT conv_id, turn, list_sort(list_distinct(list_transform(regexp_extract_all(text || ' [' || (conv_id + turn) % 12 || '] [' || (turn + 1) || '][x]', '\[(\d{1,9})\]', 1), lambda x: x::INT))) AS ids FROM conversations)
+    "number_grounding": f"""WITH {_numbers}, e AS (SELECT DISTINCT doc_id, source, unnest(a) AS number FROM nums), t AS (SELECT doc_id, source, replace(text, ',', '') AS t FROM documents),
+h AS (SELECT e.doc_id, e.number FROM e JOIN t ON t.source = e.source AND t.doc_id <> e.doc_id AND contains(t.t, e.number) GROUP BY ALL)
+SELECT doc_id, count(*) AS checked, count(*) FILTER (h.number IS NULL) AS unsupported, count(*) FILTER (h.number IS NULL) = 0 AS ok FROM e LEFT JOIN h USING (doc_id, number) GROUP BY doc_id""",
+    "citation_ids": r"""WITH a AS (SELECT conv_id, turn, list_sort(list_distinct(list_transform(regexp_extract_all(text || ' [' || (conv_id + turn) % 12 || '] [' || (turn + 1) || '][x]', '\[(\d+)\]', 1), lambda x: x::HUGEINT))) AS ids FROM conversations)
 SELECT conv_id, turn, array_to_string(list_filter(ids, lambda x: x BETWEEN 1 AND 8), ';') AS valid, array_to_string(list_filter(ids, lambda x: x < 1 OR x > 8), ';') AS invalid FROM a""",
     "fact_hit": rf"""WITH n AS (SELECT doc_id, {_norm('text').replace('。、；：', '')} AS t FROM documents), h AS (SELECT doc_id, contains(t, 'ApacheLicense') OR contains(t, 'MITLicense') AS a, contains(t, '@mail') AS b, contains(t, 'token=') OR contains(t, 'api_key=') AS c FROM n)
 SELECT doc_id, (a::INT + b::INT + c::INT)::BIGINT AS hit, 3::BIGINT AS total, array_to_string(list_filter([CASE WHEN NOT a THEN 'license' END, CASE WHEN NOT b THEN 'mail' END, CASE WHEN NOT c THEN 'token' END], lambda x: x IS NOT NULL), ',') AS missing FROM h""",
@@ -249,12 +238,13 @@ y AS (SELECT *, {_norm('g')} AS e, list_filter(regexp_extract_all(replace(answer
 SELECT CASE WHEN length(q) < 8 OR length(q) > 60 THEN 'question_length' WHEN regexp_matches(q, '根据(上述|原文|材料)|上述材料|如上所述|本报告期数据来源') THEN 'meta_phrase' WHEN g = '' THEN 'no_evidence'
 WHEN NOT (length(e) > 0 AND contains(c, replace(e, ',', ''))) THEN 'evidence_not_verbatim' WHEN len(list_filter(nums, lambda n: NOT contains(c, n))) > 0 THEN 'numbers_missing' ELSE 'ok' END AS reason, count(*) AS n FROM y GROUP BY 1""",
     "alias_dedup": "SELECT doc_id, CASE WHEN f < doc_id THEN f END AS alias_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS f FROM documents)",
-    "greedy_near_dup": f"""WITH RECURSIVE s AS (SELECT conv_id, turn, {_grams('text')} AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
-p AS (SELECT a.conv_id, a.turn AS i, b.turn AS j, b.r AS rj FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.turn < b.turn
- WHERE len(a.g) > 0 AND len(b.g) > 0 AND len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) > 0.8),
-w AS (SELECT conv_id, 0::BIGINT AS r, []::BIGINT[] AS kept FROM s GROUP BY conv_id
- UNION ALL SELECT w.conv_id, s.r, CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.conv_id = s.conv_id AND p.j = s.turn AND list_contains(w.kept, p.i)) THEN w.kept ELSE list_append(w.kept, s.turn) END FROM w JOIN s ON s.conv_id = w.conv_id AND s.r = w.r + 1)
-SELECT s.conv_id, s.turn, list_contains(k.kept, s.turn) AS kept FROM s JOIN (SELECT conv_id, arg_max(kept, r) AS kept FROM w GROUP BY conv_id) k USING (conv_id)""",
+    "greedy_near_dup": f"""WITH RECURSIVE s AS (SELECT source, doc_id, list_distinct(list_transform(range(1, length(x) - 1), lambda i: hash(substr(x, i::INT, 3)))) AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r
+ FROM (SELECT source, doc_id, {_norm('text', '？！')} AS x FROM documents)),
+p AS (SELECT a.source, a.doc_id AS i, b.doc_id AS j, b.r AS rj FROM s a JOIN s b ON a.source = b.source AND a.doc_id < b.doc_id
+ WHERE len(a.g) > 0 AND len(b.g) > 0 AND least(len(a.g), len(b.g)) > 0.8 * greatest(len(a.g), len(b.g)) AND len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) > 0.8),
+w AS (SELECT source, 0::BIGINT AS r, []::BIGINT[] AS kept FROM s GROUP BY source
+ UNION ALL SELECT w.source, s.r, CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.source = s.source AND p.j = s.doc_id AND list_contains(w.kept, p.i)) THEN w.kept ELSE list_append(w.kept, s.doc_id) END FROM w JOIN s ON s.source = w.source AND s.r = w.r + 1)
+SELECT s.source, s.doc_id, list_contains(k.kept, s.doc_id) AS kept FROM s JOIN (SELECT source, arg_max(kept, r) AS kept FROM w GROUP BY source) k USING (source)""",
     "stratified_split": f"WITH {_SPLIT} SELECT doc_id, split FROM split",
     "split_leak_check": f"WITH {_SPLIT} SELECT doc_id FROM split WHERE split = 'train' INTERSECT SELECT doc_id FROM split WHERE split = 'test'",
     "split_counts": f"WITH {_SPLIT} SELECT lang, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'test') AS test FROM split GROUP BY lang",

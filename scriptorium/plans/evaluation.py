@@ -130,7 +130,7 @@ QUERIES = {f.__name__: f for f in (
     repeated_edge_lines, header_share, mode_with_share, carry_forward_section, span_lengths, latest_version, title_filter, page_number,
 )}
 
-_PLAIN = r"list_distinct(list_filter(list_transform(regexp_extract_all(replace({0}, ',', ''), '\d[\d,]*\.?\d*'), lambda x: rtrim(x, '.')), lambda x: length(replace(x, '.', '')) >= 3 AND NOT regexp_full_match(x, '(19|20)\d{{2}}')))"
+_PLAIN = r"list_distinct(list_transform(list_filter(regexp_extract_all({0}, '\d[\d,]*\.?\d*'), lambda x: length(replace(replace(x, ',', ''), '.', '')) >= 3 AND NOT regexp_full_match(replace(x, ',', ''), '(19|20)\d{{2}}')), lambda x: rtrim(replace(x, ',', ''), '.')))"
 _EDGES = f"""l AS (SELECT source, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS k FROM documents),
 e AS (SELECT source, k[1] AS line FROM l WHERE len(k) > 0 UNION ALL SELECT source, k[len(k)] FROM l WHERE len(k) > 0)"""
 _rows = ", ".join(f"('{a}', '{b}', '{c}', {str(d).lower()}, {int(a[1:])})" for a, b, c, d in _QUESTIONS)

@@ -141,3 +141,50 @@ def test_question_rules(spark):
     schema = "id string, type string, question string, must_refuse boolean"
     bad = spark.createDataFrame([("Q1", "点查", "a", False), ("Q2", "点查", "a", None)], schema)
     assert rows(ev.question_problems(bad)) == [("count",), ("cross_company",), ("missing_key",), ("repeated",)]
+
+
+def test_evidence_matches(spark):
+    """Every pair at level 1 or 2 is found, also where a quote's rarest word is changed or cut."""
+    import random
+
+    from scriptorium.operators import verify as vf
+
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9)))
+    items = [(i, " ".join(word() for _ in range(40))) for i in range(6)] + [(6, "短句子甲乙丙"), (7, "ab c"), (8, None), (9, "")]
+    docs = [(0, None), (1, ""), (2, "x短句子，甲乙 丙y"), (3, "zabcz")]
+    for i, t in items[:6]:
+        w = t.split()
+        for n in (0, 1, 2, 4, 8):
+            v = list(w)
+            for k in r.sample(range(40), n):
+                v[k] = word()
+            docs.append((10 * (i + 1) + n, " ".join([*(word() for _ in range(30)), "".join(v[:2]), *v[2:], *(word() for _ in range(30))])))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item string")
+    got = {(x.doc_id, x.item_id): (x.level, x.ratio) for x in vf.evidence_matches(d, "doc_id", "text", b, "item_id", "item").collect()}
+    every = d.where("text IS NOT NULL").crossJoin(b.where("length(item) > 2")).select("doc_id", "item_id", vf.evidence_level(F.col("item"), F.col("text")).alias("e"))
+    want = {(x.doc_id, x.item_id): (x.e.level, x.e.ratio) for x in every.collect() if x.e.level > 0}
+    assert got == want and len(want) > 15
+
+
+def test_held_elsewhere(spark):
+    from scriptorium.operators import verify as vf
+
+    docs = [(1, "s", "1234 and 5,678 and 99.5 and 2020"), (2, "s", "912345 约 5678"), (3, "t", "1234"), (4, "s", None), (5, "s", "99.51"), (6, "u", "777 777"), (7, "v", "12345678901 3"), (8, "v", "x12,345,678,901,2")]
+    got = {(x.doc_id, x.number): x.held for x in vf.held_elsewhere(spark.createDataFrame(docs, "doc_id long, source string, text string"), "doc_id", "source", "text").collect()}
+    want = {}
+    import re
+
+    for k, s, t in docs:
+        for mark, n in re.findall(r"(≈|约|算出|计算得|得到)?\s*(\d[\d,]*\.?\d*)", t or ""):
+            n = n.replace(",", "").rstrip(".")
+            if not mark and len(n.replace(".", "")) >= 3 and not re.fullmatch(r"(19|20)\d{2}", n):
+                want[k, n] = any(n in (u or "").replace(",", "") for j, v, u in docs if v == s and j != k)
+    assert got == want
+
+
+def test_plain_numbers(spark):
+    from scriptorium.functions import text as fx
+
+    found = lambda t: spark.range(1).select(fx.plain_numbers(F.lit(t))).first()[0]
+    assert found("12.34,56") == ["12.34"] and found("1,234 2023 2,023 2023. 12") == ["1234", "2023"]
