@@ -2,8 +2,9 @@
 
 A word's probability is P(class | context) * P(word | class). A word's class is
 read off its letters, so unseen words have one. P(class | context) is a softmax
-over weights of hashed features of the classes before: n-grams of one, two and
-three of them and skips over one and two. P(word | class) is the word's share of
+over weights of hashed features of the words before: the word before and the two
+words before together (n-grams), the word before that by itself (skip), each as
+the word's hash and as its class alone. P(word | class) is the word's share of
 its class in the training tokens, smoothed by 0.1.
 
 The corpus is counted in one pass (words, and classes by context). The softmax
@@ -15,6 +16,8 @@ are joined with their counts by shuffle.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +30,11 @@ from .workdir import discard, materialize, small_batches
 #: Classes of words; class 0 is the end of a text. A word's hash holds its class in the lowest bits.
 CLASS_BITS = 5
 CLASSES = 1 << CLASS_BITS
+#: Bits of the word before and of the word before that in a context; the lowest are the word's class, the others its hash.
+NEAR_BITS, FAR_BITS = 10, 8
+CONTEXTS = 1 << NEAR_BITS + FAR_BITS
 #: Hashed feature buckets.
-BUCKETS = 1 << 13
+BUCKETS = 1 << 14
 END = np.uint64(0xE4D0F7E87A000000)
 WORD, CONTEXT, SUMMARY = 0, 1, 2
 
@@ -47,21 +53,22 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contexts(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each token, code of the three classes before it, the nearest lowest); before a text stand ends."""
+    """(class of each token, code of the two words before it); before a text stand ends."""
     label = (tokens & np.uint64(CLASSES - 1)).astype(np.int64)
     place = np.arange(len(tokens)) - np.repeat(bounds[:-1], np.diff(bounds))
     code = np.zeros(len(tokens), np.int64)
-    for back in (1, 2, 3):
+    for back, bits, at in ((1, NEAR_BITS, 0), (2, FAR_BITS, NEAR_BITS)):
         before = np.zeros(len(tokens), np.int64)
-        before[back:] = label[:-back]
-        code |= np.where(place >= back, before, 0) << (CLASS_BITS * (back - 1))
+        before[back:] = (tokens[:-back] & np.uint64((1 << bits) - 1)).astype(np.int64)
+        code |= np.where(place >= back, before, 0) << at
     return label, code
 
 
 def _features(code: np.ndarray) -> np.ndarray:
-    """Hashed feature buckets of contexts: bias, n-grams and skips."""
-    one, two, three = code % CLASSES, code // CLASSES % CLASSES, code // CLASSES**2
-    parts = [np.zeros_like(code), one, one + CLASSES * two, code, two, three, one + CLASSES * three]
+    """Hashed feature buckets of contexts: bias, n-grams and skips of words and of classes."""
+    near, far = code % (1 << NEAR_BITS), code >> NEAR_BITS
+    one, two = near % CLASSES, far % CLASSES
+    parts = [np.zeros_like(code), one, near, one + CLASSES * two, near + (two << NEAR_BITS), code, two, far]
     keys = np.stack([(p.astype(np.uint64) << np.uint64(4)) + np.uint64(i) for i, p in enumerate(parts)], 1)
     return (tb.mix(keys + np.uint64(17)) % np.uint64(BUCKETS)).astype(np.int64)
 
@@ -76,34 +83,32 @@ def count_corpus(docs: DataFrame) -> DataFrame:
     """kind, key, n: counts of words (by hash) and of (context, class) pairs over all rows."""
 
     def count(batches):
-        table = np.zeros(CLASSES**4, np.int64)
-        pending, size = [], 0
+        pending: dict[int, list[np.ndarray]] = {WORD: [], CONTEXT: []}
+        size = 0
 
         def flush():
-            keys, n = np.unique(np.concatenate(pending), return_counts=True)
-            for at in range(0, len(keys), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                m = len(keys[part])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, WORD), pa.int32()), pa.array(keys[part].view(np.int64)), pa.array(n[part], pa.int64())], names=["kind", "key", "n"]
-                )
+            for kind, parts in pending.items():
+                keys, n = np.unique(np.concatenate(parts), return_counts=True)
+                parts.clear()
+                for at in range(0, len(keys), 1 << 16):
+                    part = slice(at, at + (1 << 16))
+                    m = len(keys[part])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(m, kind), pa.int32()), pa.array(keys[part].view(np.int64)), pa.array(n[part], pa.int64())], names=["kind", "key", "n"]
+                    )
 
         for batch in batches:
             for lo, hi in tb.text_slices(batch.column(0)):
                 tokens, bounds = _tokens(batch.column(0).slice(lo, hi - lo))
                 label, code = _contexts(tokens, bounds)
-                table += np.bincount(code * CLASSES + label, minlength=len(table))
-                pending.append(tokens)
+                pending[WORD].append(tokens)
+                pending[CONTEXT].append((code * CLASSES + label).view(np.uint64))
                 size += len(tokens)
-                if size > 6_000_000:
+                if size > 4_000_000:
                     yield from flush()
-                    pending, size = [], 0
-        if pending:
+                    size = 0
+        if size:
             yield from flush()
-        used = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(used), CONTEXT), pa.int32()), pa.array(used, pa.int64()), pa.array(table[used], pa.int64())], names=["kind", "key", "n"]
-        )
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "kind int, key long, n long")
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -112,17 +117,18 @@ def count_corpus(docs: DataFrame) -> DataFrame:
 def train_classes(contexts: DataFrame, steps: int = 12, prior: float = 8.0) -> np.ndarray:
     """Weights (buckets x classes) by distributed gradient steps over the counted contexts (key, n).
 
-    There are at most CLASSES ** 4 contexts, however large the corpus. A task sums
-    the gradient (observed less expected counts) and the expected counts of its
-    contexts in two arrays of fixed size, which are added over the tasks. A weight
-    moves by log(1 + gradient / (expected + prior)), shared out among the features
-    that fire together, a step that never lowers the likelihood (but for the prior,
-    by which rare contexts hardly move).
+    There are at most CONTEXTS of them, each with the counts of its classes in one
+    row. A task sums the gradient (observed less expected counts) and the expected
+    counts of its contexts in two arrays of fixed size, which are added over the
+    tasks. The step is the gradient by a rate for each weight, one over its expected
+    count and a prior and shared out among the features that fire together, at most
+    1 in either direction.
     """
     spark = contexts.sparkSession
     weights = np.zeros((BUCKETS, CLASSES))
-    parts = contexts.select(F.shiftright("key", CLASS_BITS).alias("context"), (F.col("key") % CLASSES).cast("int").alias("label"), "n").repartition(8, "context")
-    parts = materialize(parts, "contexts")
+    label = F.col("key") % CLASSES
+    parts = contexts.groupBy(F.shiftright("key", CLASS_BITS).alias("context")).agg(*[F.sum(F.when(label == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(CLASSES)])
+    parts = materialize(parts.repartition(8, "context"), "contexts")
     share = _features(np.zeros(1, np.int64)).shape[1]
     for _ in range(steps):
         now = spark.sparkContext.broadcast(weights.astype(np.float32))
@@ -131,16 +137,12 @@ def train_classes(contexts: DataFrame, steps: int = 12, prior: float = 8.0) -> n
             w = now.value.astype(np.float64)
             sums = np.zeros((2, *w.shape))
             for batch in batches:
-                context, label, n = (np.asarray(c) for c in batch.columns)
-                distinct, where = np.unique(context, return_inverse=True)
-                counts = np.zeros((len(distinct), CLASSES))
-                np.add.at(counts, (where, label), n)
-                for lo in range(0, len(distinct), 4096):
-                    features = _features(distinct[lo : lo + 4096].astype(np.int64))
-                    c = counts[lo : lo + 4096]
-                    p = np.exp(_log_softmax(w, features))
-                    total = c.sum(1, keepdims=True)
-                    expected = total * p
+                context, *columns = (np.asarray(c) for c in batch.columns)
+                counts = np.stack(columns, 1).astype(np.float64)
+                for lo in range(0, len(context), 2048):
+                    features = _features(context[lo : lo + 2048].astype(np.int64))
+                    c = counts[lo : lo + 2048]
+                    expected = c.sum(1, keepdims=True) * np.exp(_log_softmax(w, features))
                     for k in range(share):
                         np.add.at(sums[0], features[:, k], c - expected)
                         np.add.at(sums[1], features[:, k], expected)
@@ -152,7 +154,7 @@ def train_classes(contexts: DataFrame, steps: int = 12, prior: float = 8.0) -> n
         now.unpersist()
         if not sums[1].any():
             break
-        weights = weights + np.log1p(sums[0] / (sums[1] + prior)) / share
+        weights = weights + np.clip(sums[0] / (sums[1] + prior), -1, 1) / share
     discard(parts)
     return weights
 
@@ -191,15 +193,19 @@ def lm_score(docs: DataFrame, head: int = 1 << 20, steps: int = 12) -> DataFrame
         (frequent_keys[order], frequent["n"].to_numpy(np.int64)[order], weights.astype(np.float32), class_n + 0.1 * (class_v + 1))
     )
 
+    run = uuid.uuid4().hex
+
     def score(batches):
         keys, counts, w, class_size = model.value
         logs = np.log10(counts + 0.1)
-        table = np.empty((CLASSES**3, CLASSES))
-        for lo in range(0, len(table), 4096):
-            table[lo : lo + 4096] = _log_softmax(w.astype(np.float64), _features(np.arange(lo, lo + 4096, dtype=np.int64)))
-        table /= np.log(10)
-        table -= np.log10(class_size)
-        table = table.ravel()
+        cache = tb.worker_cache()
+        if cache.get("lm_run") != run:  # one table a worker, not one a task
+            table = np.empty((CONTEXTS, CLASSES), np.float32)
+            for lo in range(0, CONTEXTS, 2048):
+                p = _log_softmax(w.astype(np.float64), _features(np.arange(lo, lo + 2048, dtype=np.int64)))
+                table[lo : lo + 2048] = p / np.log(10) - np.log10(class_size)
+            cache["lm_run"], cache["lm_table"] = run, table.ravel()
+        table = cache["lm_table"]
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             for lo, hi in tb.text_slices(column):
@@ -207,7 +213,7 @@ def lm_score(docs: DataFrame, head: int = 1 << 20, steps: int = 12) -> DataFrame
                 n = hi - lo
                 owner = np.repeat(np.arange(n), np.diff(bounds))
                 label, code = _contexts(tokens, bounds)
-                context = np.add.reduceat(table[code * CLASSES + label], bounds[:-1])
+                context = np.add.reduceat(table[code * CLASSES + label].astype(np.float64), bounds[:-1])
                 at = np.minimum(np.searchsorted(keys, tokens), max(0, len(keys) - 1))
                 hit = keys[at] == tokens if len(keys) else np.zeros(len(tokens), bool)
                 known = np.bincount(owner[hit], minlength=n)

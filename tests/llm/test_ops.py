@@ -259,6 +259,48 @@ def test_lm(docs, edges, empty):
     assert lm_score(empty).count() == 0
 
 
+def test_lm_score_by_formula(spark):
+    """score as the sum over tokens of log10 P(class | context) + log10 P(word | class), word by word."""
+    import numpy as np
+    import pyarrow as pa
+
+    from scriptorium.llm import lm_score as lm
+
+    r = random.Random(8)
+    rows = [(k, " ".join(r.choice(["the", "a", "dog", "cat", "runs", "Sits", "é", "zz"]) + r.choice(["", "", "s"]) for _ in range(r.randint(0, 12)))) for k in range(60)] + [(60, None), (61, "unseen thing")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = [t or "" for k, t in rows if zlib.crc32(str(k).encode()) % 10]
+    token = lambda w: int(lm._tokens(pa.array([w]))[0][0]) if w else int(lm.END)
+    coded = lambda t: [token(w) for w in words(t)] + [int(lm.END)]
+    counts, contexts = collections.Counter(), collections.Counter()
+
+    def before(tokens, i):
+        near = tokens[i - 1] % (1 << lm.NEAR_BITS) if i else 0
+        return near + ((tokens[i - 2] % (1 << lm.FAR_BITS) if i > 1 else 0) << lm.NEAR_BITS)
+
+    for t in train:
+        tokens = coded(t)
+        counts.update(tokens)
+        contexts.update((before(tokens, i), x % lm.CLASSES) for i, x in enumerate(tokens))
+    table = spark.createDataFrame([(c * lm.CLASSES + k, n) for (c, k), n in contexts.items()], "key long, n long")
+    weights = lm.train_classes(table)
+
+    def class_chances(context):
+        logits = [sum(weights[f, k] for f in lm._features(np.array([context]))[0]) for k in range(lm.CLASSES)]
+        return [math.exp(x) / sum(map(math.exp, logits)) for x in logits]
+
+    total = sum(n * math.log(class_chances(c)[k]) for (c, k), n in contexts.items())
+    assert total > 0.8 * sum(contexts.values()) * math.log(1 / lm.CLASSES)  # the steps raise the likelihood
+    got = by_id(lm.lm_score(df))
+    for k, t in rows:
+        tokens, want = coded(t), 0.0
+        for i, x in enumerate(tokens):
+            mine = [(w, n) for w, n in counts.items() if w % lm.CLASSES == x % lm.CLASSES]
+            want += math.log10(class_chances(before(tokens, i))[x % lm.CLASSES])
+            want += math.log10((counts[x] + 0.1) / (sum(n for _, n in mine) + 0.1 * (len(mine) + 1)))
+        assert abs(got[k].score - want) < 1e-4 * max(1, abs(want)), (k, got[k].score, want)
+
+
 def test_windows():
     import numpy as np
 
