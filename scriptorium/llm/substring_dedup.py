@@ -106,17 +106,18 @@ def _values(size: int, functions: int, least: int):
     return run
 
 
-def _around(flat: np.ndarray, c: np.ndarray, base: np.ndarray, end: np.ndarray, size: int, least: int) -> np.ndarray:
-    """Smallest hashes of two ranges on each side of the places c, 16 bits each; 0 where a range leaves the document.
-
-    A passage of ``least`` shingles has half of them on one side of c, so both ranges of that side are inside it.
-    """
-    width = max(1, (least // 2 - size) // 2)
+def _range_hashes(flat: np.ndarray, width: int) -> np.ndarray:
+    """The smallest hash of the ``width`` shingles from each place on."""
     smallest, held = tb.mix(flat), 1
     while held < width:
         step = min(held, width - held)
         smallest = np.minimum(smallest, np.append(smallest[step:], np.repeat(smallest[-1:], step))[: len(smallest)])
         held += step
+    return smallest
+
+
+def _around(flat: np.ndarray, smallest: np.ndarray, width: int, c: np.ndarray, base: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+    """Smallest hashes of two ranges on each side of the places c, 16 bits each; 0 where a range leaves the document."""
     out = np.zeros(len(c), np.uint64)
     for i, at in enumerate((c + size + 1, c + size + 1 + width, c - size - width, c - size - 2 * width)):
         inside = (at >= base) & (at + width <= end)
@@ -126,12 +127,17 @@ def _around(flat: np.ndarray, c: np.ndarray, base: np.ndarray, end: np.ndarray,
 
 
 def _windows(size: int, functions: int, least: int):
+    # A passage of ``least`` shingles has half of them on one side of a place, so both ranges of that side are inside it.
+    width = max(1, (least // 2 - size) // 2)
+
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
+            ids, seen = batch.column(0), None
             for lo, hi, f, doc, value, l, c, r, flat, first, last in _text_windows(batch.column(1), size, functions, least):
                 doc_ids = ids.slice(lo, hi - lo).cast(pa.int64()).take(pa.array(doc))
                 base = first[doc]
+                if seen is not flat:
+                    seen, smallest = flat, _range_hashes(flat, width)
                 # The shingle after the place, or before it at a text's end, makes the key.
                 after = c + size < last[doc]
                 beside = np.where(after, c + size, c - size)
@@ -139,7 +145,7 @@ def _windows(size: int, functions: int, least: int):
                 other = flat[np.where(inside, beside, 0)] if len(flat) else np.empty(0, np.uint64)
                 key = tb.mix((value ^ np.uint64(f + 1)) * np.uint64(0x9E3779B97F4A7C15) + other + np.where(after, np.uint64(1), np.uint64(2)))
                 yield pa.RecordBatch.from_arrays(
-                    [doc_ids, pa.array((value + np.uint64(f)).view(np.int64)), pa.array(key.view(np.int64), mask=~inside), *(pa.array(x - base, pa.int32()) for x in (l, c, r)), pa.array(_around(flat, c, base, last[doc], size, least).view(np.int64))],
+                    [doc_ids, pa.array((value + np.uint64(f)).view(np.int64)), pa.array(key.view(np.int64), mask=~inside), *(pa.array(x - base, pa.int32()) for x in (l, c, r)), pa.array(_around(flat, smallest, width, c, base, last[doc], size).view(np.int64))],
                     names=["doc_id", "value", "key", "l", "c", "r", "around"],
                 )
 
@@ -376,9 +382,9 @@ def _unexplained(rows: DataFrame, found: DataFrame, size: int, least: int, perce
     """Pairs of windows (and the tables that they read) to be verified where the comparison with a key's smallest document found no passage.
 
     A window's hash and the smallest hash of a range beside c make a second kind of
-    key. A window without a passage meets two members of each of those: the one that
-    shares most with others, which of edited copies is the least edited one, and one
-    at random. So the work is linear in the windows.
+    key. A window without a passage meets one member of each of those, of the document
+    whose windows are shared most on average, which of edited copies is the least
+    edited one. So the work is linear in the windows.
     """
     part = F.explode(F.sequence(F.floor(F.col("start_word") / 64), F.floor((F.col("end_word") - size) / 64))).alias("part")
     spans = _merged(found.groupBy("doc_id", "start_word").agg(F.max("end_word").alias("end_word"), F.min("partner_id").alias("partner_id")))
@@ -396,11 +402,9 @@ def _unexplained(rows: DataFrame, found: DataFrame, size: int, least: int, perce
     sized = members.join(sizes, "near")
     weights = materialize(sized.groupBy("doc_id").agg(F.avg("n").alias("weight")), "weights")
     one = F.struct(*place)
-    ranked = sized.join(weights, "doc_id").groupBy("near").agg(
-        F.max(F.struct("weight", F.hash("doc_id").alias("h"), one.alias("m"))).alias("x"), F.max(F.struct(F.hash("near", "doc_id").alias("h"), one.alias("m"))).alias("y")
-    )
-    pivots = materialize(ranked.select("near", F.array("x.m", "y.m").alias("pivots")), "pivots")
-    met = unmet.join(pivots, "near").select(*place, F.explode("pivots").alias("p")).select(*place, *[F.col(f"p.{n}").alias(f"{n}2") for n in place])
+    ranked = sized.join(weights, "doc_id").groupBy("near").agg(F.max(F.struct("weight", F.hash("near", "doc_id").alias("h"), one.alias("m"))).alias("x"))
+    pivots = materialize(ranked.select("near", *[F.col(f"x.m.{n}").alias(f"{n}2") for n in place]), "pivots")
+    met = unmet.join(pivots, "near")
     met = met.where((F.col("doc_id") != F.col("doc_id2")) & _meets(least * percent // 100)).select("doc_id", "c", "doc_id2", "c2", F.col("doc_id2").alias("top"))
     return met, [unmet, members, sizes, weights, pivots]
 
@@ -415,7 +419,7 @@ def substring_dedup(docs: DataFrame, words: int = 50, size: int = 5, percent: in
     passages of a document are one; partner_id is then the smallest of their
     partners. Groups of copies aren't expanded: every member is verified against
     the group's smallest doc_id, and windows for which that finds no passage against
-    the most connected member, and a random one, of each of their finer groups. A
+    the most connected member of each of their finer groups. A
     passage is missed if under all functions its smallest hash, a shingle next to it or
     the ranges beside it are edited, or if no member that it meets is similar to it;
     how often depends on where the edits lie (tests/llm/test_ops.py holds cases).
