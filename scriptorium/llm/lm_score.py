@@ -146,11 +146,11 @@ def train_classes(contexts: DataFrame, steps: int = 12, prior: float = 8.0) -> n
                     for k in range(share):
                         np.add.at(sums[0], features[:, k], c - expected)
                         np.add.at(sums[1], features[:, k], expected)
-            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([sums.astype(np.float32).tobytes()], pa.binary())], names=["sums"])
 
         sums = np.zeros((2, *weights.shape))
         for row in parts.mapInArrow(gradient, "sums binary").toLocalIterator():
-            sums += np.frombuffer(row["sums"], np.float64).reshape(sums.shape)
+            sums += np.frombuffer(row["sums"], np.float32).reshape(sums.shape)
         now.unpersist()
         if not sums[1].any():
             break
