@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the folder that spark.checkpoint.dir names, written once; a temporary folder is set in local mode only (tests)."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """This application's folder in the one that spark.checkpoint.dir names; a temporary one is set in local mode only (tests)."""
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
+    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
         if context.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="scriptorium-"))
-        folder = context.getCheckpointDir()
-    path = f"{folder}/scriptorium/{context.applicationId}/cut-{uuid.uuid4().hex}"
+        named = context.getCheckpointDir()
+    return f"{named}/scriptorium/{context.applicationId}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the run's folder, written once."""
+    path = f"{folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

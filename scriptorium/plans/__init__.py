@@ -1,6 +1,6 @@
 """Registered queries with their SQL."""
 
-from . import business, curation, evaluation, retrieval
+from . import answering, business, curation, evaluation, retrieval
 
-QUERIES = retrieval.QUERIES | curation.QUERIES | evaluation.QUERIES | business.QUERIES
-ORACLES = retrieval.ORACLES | curation.ORACLES | evaluation.ORACLES | business.ORACLES
+QUERIES = retrieval.QUERIES | curation.QUERIES | evaluation.QUERIES | business.QUERIES | answering.QUERIES
+ORACLES = retrieval.ORACLES | curation.ORACLES | evaluation.ORACLES | business.ORACLES | answering.ORACLES

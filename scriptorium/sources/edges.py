@@ -55,8 +55,8 @@ def keep_rule(grounded: Column, natural: Column) -> Column:
     return (grounded >= 2) & (natural == 1)
 
 
-def embed(rows: DataFrame, key: str, text: str, encode: Callable[[list[str]], list[list[float]]], batch: int = 8, limit: int = 3000) -> DataFrame:
-    """(key, embedding) of unit length; a batch that fails is halved, a row that fails alone raises."""
+def embed(rows: DataFrame, key: str, text: str, encode: Callable[[list[str]], list[list[float]]], batch: int = 8, limit: int | None = None, instruction: str = "") -> DataFrame:
+    """(key, embedding) of unit length; a batch that fails is halved, a row that fails alone raises. Whole texts unless ``limit`` names a number of characters; questions take their model's ``instruction`` before them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def halves(texts):
@@ -71,7 +71,7 @@ def embed(rows: DataFrame, key: str, text: str, encode: Callable[[list[str]], li
         for part in batches:
             out = []
             for lo in range(0, len(part), batch):
-                out += halves([t[:limit] for t in part[text].iloc[lo : lo + batch]])
+                out += halves([instruction + t[:limit] for t in part[text].iloc[lo : lo + batch]])
             yield pd.DataFrame({key: part[key], "embedding": out})
 
     made = rows.select(key, text).mapInPandas(run, rows.select(key).schema.add("embedding", ArrayType(DoubleType())))
