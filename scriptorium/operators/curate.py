@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.checkpoints import cut
-from scriptorium.functions import text as fx
+from scriptorium.operators import near
 
 
 def shuffled(seed: int, *keys: Column) -> Column:
@@ -26,58 +26,58 @@ def alias_of(rows: DataFrame, identity: Column, key: str) -> DataFrame:
     return joined.withColumn("alias_of", F.when(F.col("_first") < F.col(key), F.col("_first"))).drop("_identity", "_first")
 
 
-def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """(g, i, j): pairs i < j of a group whose sets have a Jaccard over the threshold, of sets(g, o, grams); empty sets have none.
-
-    Grams are joined rarest first: two sets that similar share one of the first
-    n - ceil(threshold * n) + 1 grams in any common order, so frequent grams are
-    hardly ever joined on.
-    """
-    exploded = sets.select("g", "o", F.explode("grams").alias("gram"))
-    rank = exploded.groupBy("g", "gram").agg(F.count("*").alias("n")).where("n > 1")
-    ordered = exploded.join(rank, ["g", "gram"], "left").groupBy("g", "o").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "gram"))).alias("s")
-    )
-    size = F.size("s")
-    prefix = F.slice("s", F.lit(1), (size - F.ceil(size * threshold) + 1).cast("int"))
-    keys = ordered.select("g", "o", size.alias("size"), F.filter(prefix, lambda x: x["n"] > 1).alias("keys"))
-    tokens = cut(keys.select("g", "o", "size", F.explode("keys.gram").alias("gram")))
-    close = (F.col("a.o") < F.col("b.o")) & (F.least("a.size", "b.size") > threshold * F.greatest("a.size", "b.size"))
-    pairs = tokens.alias("a").join(tokens.alias("b"), ["g", "gram"]).where(close).select("g", F.col("a.o").alias("i"), F.col("b.o").alias("j")).distinct()
-    both = pairs.join(sets.select("g", F.col("o").alias("i"), F.col("grams").alias("gi")), ["g", "i"]).join(sets.select("g", F.col("o").alias("j"), F.col("grams").alias("gj")), ["g", "j"])
-    return both.where(fx.jaccard(F.col("gi"), F.col("gj")) > threshold).select("g", "i", "j")
-
-
 def greedy_near_dup(rows: DataFrame, group: str, order: str, text: Column, threshold: float = 0.8) -> DataFrame:
     """Adds kept: in order, a row goes if it is too similar to an earlier row of its group that was kept.
 
     A dropped row drops nothing. Of rows with equal sets of 3-grams only the first
-    can stay, and what it is similar to the others are too, so they go before pairs
-    are made. Rounds then decide, all groups at once, every row whose earlier similar
-    rows are decided; rows are few rounds deep in practice.
+    can stay, and what it is similar to the others are too, so the others go first.
+    Two rounds then keep what no earlier open row may be similar to and drop what
+    that is similar to, so near copies of one row meet that row, not each other.
+    Of the few rows left, all similar pairs are found, and rounds decide every row
+    whose earlier similar rows are decided. Rows without group, order or grams stay.
     """
-    grams = F.array_sort(F.array_distinct(F.transform(fx.gram_list(text, 3), lambda g: F.xxhash64(g))))
-    sets = cut(rows.select(F.col(group).alias("g"), F.col(order).alias("o"), grams.alias("grams")).where("size(grams) > 0"))
-    key = F.sha2(F.array_join(F.transform("grams", lambda x: x.cast("string")), ","), 256).alias("same")
-    keyed = sets.select("g", "o", key)
-    firsts = cut(keyed.groupBy("g", "same").agg(F.min("o").alias("o")))
-    dropped = keyed.join(firsts, ["g", "same", "o"], "left_anti").select("g", "o")
-    open_pairs = cut(similar_pairs(cut(sets.join(firsts.select("g", "o"), ["g", "o"], "left_semi")), threshold))
-    while True:
-        # Rows that nothing open stands before are kept; what they are similar to goes.
-        later = open_pairs.select("g", F.col("j").alias("i")).distinct()
-        free = open_pairs.select("g", "i").distinct().join(later, ["g", "i"], "left_anti")
-        gone = cut(open_pairs.join(free, ["g", "i"]).select("g", F.col("j").alias("o")).distinct())
-        if gone.isEmpty():
+    if not 0 < threshold < 1:
+        raise ValueError("threshold has to lie between 0 and 1")
+    keyed = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), text.alias("t")).where("g IS NOT NULL AND o IS NOT NULL")
+    sets = cut(near.sketched(keyed))
+    firsts = cut(sets.groupBy("g", "same").agg(F.min("o").alias("o")))
+    dropped = sets.select("g", "same", "o").join(firsts, ["g", "same", "o"], "left_anti").select("g", "o")
+    ids = cut(firsts.select("g", "o").distinct().orderBy("o").withColumn("id", F.monotonically_increasing_id()))
+    still = cut(sets.join(firsts, ["g", "same", "o"], "left_semi").join(ids, ["g", "o"]).select("id", "g", "n", "sketch"))
+    texts = None
+    for _ in range(2):
+        late = cut(near.waiting(still, threshold))
+        if late.isEmpty():
             break
-        dropped = dropped.unionByName(gone)
-        out = gone.withColumnRenamed("o", "i")
-        rest = open_pairs.join(free, ["g", "i"], "left_anti").join(out, ["g", "i"], "left_anti")
-        open_pairs = cut(rest.join(gone.withColumnRenamed("o", "j"), ["g", "j"], "left_anti"))
+        flagged = still.join(late.withColumn("waits", F.lit(True)), "id", "left").withColumn("waits", F.coalesce("waits", F.lit(False)))
+        pairs = cut(near.freed(flagged, threshold))
+        if texts is None:
+            listed = cut(ids.join(late.union(pairs.select("i")).distinct(), "id", "left_semi"))
+            texts = cut(near.keep_listed(keyed, listed, ["g", "o"]).join(listed, ["g", "o"]).select("id", "t"))
+        gone = cut(near.confirmed(pairs, texts, threshold).select(F.col("j").alias("id")).distinct())
+        dropped = dropped.unionByName(ids.join(gone, "id").select("g", "o"))
+        still = cut(still.join(late, "id", "left_semi").join(gone, "id", "left_anti"))
+    else:
+        full = near.with_grams(texts.join(still.select("id"), "id", "left_semi"))
+        dropped = dropped.unionByName(ids.join(_passed_over(cut(near.exact_pairs(still.join(full, "id"), threshold))), "id").select("g", "o"))
     marks = dropped.distinct().select(F.col("g").alias(group), F.col("o").alias(order), F.lit(False).alias("_kept"))
     return rows.join(marks, [group, order], "left").withColumn("kept", F.coalesce("_kept", F.lit(True))).drop("_kept")
 
 
+def _passed_over(pairs: DataFrame) -> DataFrame:
+    """The ids that go, of pairs(i, j) that are similar, i the earlier."""
+    out = pairs.select(F.col("j").alias("id")).limit(0)
+    while True:
+        # Rows that nothing open stands before are kept; what they are similar to goes.
+        free = pairs.select("i").distinct().join(pairs.select(F.col("j").alias("i")).distinct(), "i", "left_anti")
+        gone = cut(pairs.join(free, "i").select(F.col("j").alias("id")).distinct())
+        if gone.isEmpty():
+            return out
+        out = out.unionByName(gone)
+        rest = pairs.join(free, "i", "left_anti").join(gone.withColumnRenamed("id", "i"), "i", "left_anti")
+        pairs = cut(rest.join(gone.withColumnRenamed("id", "j"), "j", "left_anti"))
+
+
 def _numbered(rows: DataFrame, strata: Column, order: list[Column], name: str) -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(strata).orderBy(*order)).cast("long"))
 

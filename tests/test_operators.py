@@ -1,10 +1,16 @@
 """Operators on hand-made rows."""
 
+import os
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium import checkpoints
 from scriptorium.operators import curate as cu
 from scriptorium.operators import evaluate as ev
+from scriptorium.operators import near
 from scriptorium.operators import pages as pg
 from scriptorium.operators import retrieval as rt
 
@@ -48,6 +54,60 @@ def test_greedy_keeps_what_a_dropped_row_resembles(spark):
     assert {(r.g, r.o): r.kept for r in got.collect()} == {("g", 1): True, ("g", 2): False, ("g", 3): True, ("h", 1): True, ("g", 4): True, ("g", 5): True, ("g", 6): True}
 
 
+def test_greedy_equals_the_plain_rule(spark):
+    rng = random.Random(5)
+    syllables = ["ing", "er", "the", "an", "on", "re", "st", "ou", "ha", "ti", "es", "nd", "wh", "ble", "ea", "ly", "or", "sh", "\u00e9n", "\u4e2d\u6587", "\U0001f600"]
+    prose = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+
+    def edited(text, n):
+        for _ in range(n):
+            k = rng.randrange(len(text))
+            text = text[:k] + prose(1) + text[k + rng.randrange(3) :]
+        return text
+
+    texts = [prose(rng.choice((2, 8, 60, 300, 900, 1400))) for _ in range(300)]
+    texts += [edited(rng.choice(texts[:60]), rng.randrange(60)) for _ in range(150)] + [edited(texts[5] + prose(400), 6) for _ in range(60)] + ["", "ab", "abc", "abc"]
+    rng.shuffle(texts)
+    data = [(None if k % 97 == 0 else "uvw"[min(k % 5, 2)], None if k % 101 == 0 else k, t) for k, t in enumerate(texts)]
+    want, kept = {}, {}
+    for g, o, t in data:
+        own = {t[i : i + 3] for i in range(len(t) - 2)}
+        like = lambda x, own=own: own and len(own & x) / len(own | x) > 0.8
+        want[g, o, t] = g is None or o is None or not any(map(like, kept.setdefault(g, [])))
+        if want[g, o, t] and g is not None and o is not None:
+            kept[g].append(own)
+    assert 50 < sum(not x for x in want.values()) < 300
+    got = cu.greedy_near_dup(spark.createDataFrame(data, "g string, o long, t string"), "g", "o", F.col("t"), 0.8)
+    assert {(r.g, r.o, r.t): r.kept for r in got.collect()} == want
+
+
+def test_greedy_moves_little_where_texts_share_their_grams(spark):
+    rng = random.Random(6)
+    syllables = ["ing", "er", "the", "an", "on", "re", "st", "ou", "ha", "ti", "es", "nd", "wh", "ble", "ea", "ly", "or", "sh"]
+    data = [("g", k, "".join(rng.choices(syllables, k=400))) for k in range(600)]
+    disks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    tops = [checkpoints.folder(spark).removeprefix("file:"), *(str(d) for d in disks)]
+    size = lambda: sum(os.path.getsize(f"{d}/{f}") for top in tops for d, _, fs in os.walk(top) for f in fs if f.endswith((".parquet", ".data")))
+    before = size()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # joins as with large tables
+    try:
+        got = cu.greedy_near_dup(spark.createDataFrame(data, "g string, o long, t string"), "g", "o", F.col("t"), 0.8)
+        assert got.where("kept").count() == 600
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < size() - before < 4 * sum(len(t) for _, _, t in data)
+
+
+def test_sketches_differ_in_no_more_bits_than_the_sets_in_grams():
+    rng = np.random.default_rng(3)
+    for n in (1, 63, 64, 65, 500, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n))
+        b = np.union1d(rng.choice(a, max(1, n - n // 9), replace=False), rng.integers(0, 1 << 63, rng.integers(0, n // 4 + 1)))
+        x, y = (np.frombuffer(near.sketch(s), np.uint64) for s in (a, b))
+        w = min(len(x), len(y))
+        assert int(np.bitwise_count(near._folded(x, w) ^ near._folded(y, w)).sum()) <= len(np.setxor1d(a, b))
+
+
 @pytest.mark.parametrize("n, test", [(1, 0), (2, 0), (3, 1), (10, 2), (30, 4)])
 def test_split_sizes(spark, n, test):
     split = cu.stratified_split(spark.range(n).withColumn("s", F.lit("x")), F.col("s"), "id")
